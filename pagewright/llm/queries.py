@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from pagewright.llm import decontam, langid, mixing, simhash, tokencount, tokenfiles
+from pagewright.llm import decontam, langid, mixing, simhash, syncmers, tokencount, tokenfiles, toxicity, urltrust
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
     "op2_token_counts": tokencount.op2_token_counts,
     "op3_token_files": tokenfiles.op3_token_files,
+    "op4_toxicity": toxicity.op4_toxicity,
+    "op5_url_trust": urltrust.op5_url_trust,
+    "op6_syncmers": syncmers.op6_syncmers,
     "op7_mixing": mixing.op7_mixing,
     "op8_decontaminate": decontam.op8_decontaminate,
     "op10_simhash": simhash.op10_simhash,
 }
 ORACLE_SQL = {
+    "op5_url_trust": urltrust.oracle(),
     "op8_decontaminate": decontam.ORACLE,
 }

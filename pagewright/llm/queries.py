@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagewright.llm import decontam, langid, mixing, simhash, syncmers, tokencount, tokenfiles, toxicity, urltrust
+from pagewright.llm import bwtdedup, decontam, langid, mixing, simhash, syncmers, tokencount, tokenfiles, toxicity, urltrust
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_syncmers": syncmers.op6_syncmers,
     "op7_mixing": mixing.op7_mixing,
     "op8_decontaminate": decontam.op8_decontaminate,
+    "op9_repeats": bwtdedup.op9_repeats,
     "op10_simhash": simhash.op10_simhash,
 }
 ORACLE_SQL = {

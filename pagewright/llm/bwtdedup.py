@@ -302,38 +302,37 @@ def _fetch(n: int):
 
 
 def suffix_order(text: np.ndarray) -> np.ndarray:
-    """Suffix array of one shard by prefix doubling; text is strings of symbols over 0, each ended by a 0.
-
-    Ends count as different symbols in order of their places, below all others.
-    """
-    n = len(text)
-    ends = np.flatnonzero(text == 0)
-    rank = text.astype(np.int64) + len(ends)
-    rank[ends] = np.arange(len(ends))
-    order, width = np.argsort(rank, kind="stable"), 1
+    """Suffix array of one shard by prefix doubling, from its first 7 symbols on."""
+    n, width = len(text), 7
+    key = np.zeros(n, np.int64)
+    for k in range(width):
+        key[: max(0, n - k)] |= text[k:].astype(np.int64) << (8 * (width - 1 - k))
+    rank = np.empty(n, np.int64)
     while True:
-        far = np.zeros(n, np.int64)
-        far[: max(0, n - width)] = rank[width:] + 1
-        key = rank * (n + 512) + far
         order = np.argsort(key, kind="stable")
         k = key[order]
-        rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(np.concatenate(([0], k[1:] != k[:-1])))
-        width *= 2
         if rank[order[-1]] == n - 1:
             return order
+        key = rank * (n + 1)
+        key[: max(0, n - width)] += rank[width:] + 1
+        width *= 2
 
 
-def merge(shards: list[np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray]:
+def merge(shards: list[np.ndarray], ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Merges the shards' Burrows-Wheeler transforms by interleave refinement.
 
-    Returns the places (in the shards laid end to end) in the order of their first `length` symbols, and
-    marks: True where a suffix differs from the one before it within that length or holds an end.
+    A shard is strings of symbols, each followed by a 0. ends marks, in the shards laid end to end, the
+    places where a window of interest ends; the suffixes there are what round 0 orders. Each round goes
+    one symbol back from each, so after `length` rounds the windows stand in order of their symbols.
+    A suffix that differs from both neighbours stays so in all later rounds and is left out.
+    Returns the places of the windows that occur more than once, in order, and marks of where a window
+    differs from the one before it.
     """
     order, bwt, back, at = [], [], [], 0
     for text in shards:
         sa = suffix_order(text)
-        b = np.where(sa > 0, text[sa - 1], 0).astype(np.uint8)
+        b = text[sa - 1]  # what precedes the first place is never asked for
         lf = np.empty(len(b), np.int32)  # from a suffix to the one a symbol longer
         lf[np.argsort(b, kind="stable")] = np.arange(len(b), dtype=np.int32)
         order.append(sa + at)
@@ -341,8 +340,8 @@ def merge(shards: list[np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray
         back.append(lf + at)
         at += len(text)
     sa, b, lf = np.concatenate(order), np.concatenate(bwt), np.concatenate(back).astype(np.int32)
-    row = np.arange(at, dtype=np.int32)  # round 0: one shard after the other
-    new = np.zeros(at, bool)
+    row = np.flatnonzero(ends[sa]).astype(np.int32)  # round 0: one shard after the other
+    new = np.zeros(len(row), bool)
     new[:1] = True
     for _ in range(length):
         # where the order by h symbols puts x, the order by h + 1 puts cx in the stretch of its symbol c
@@ -350,8 +349,11 @@ def merge(shards: list[np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray
         to = np.argsort(c, kind="stable")
         block, c = np.cumsum(new, dtype=np.int32)[to], c[to]
         row = lf[row][to]
-        new[1:] = (c[1:] != c[:-1]) | (block[1:] != block[:-1]) | (c[1:] == 0)
-        if new.all():
+        new = np.ones(len(row) + 1, bool)
+        new[1:-1] = (c[1:] != c[:-1]) | (block[1:] != block[:-1])
+        kept = ~(new[:-1] & new[1:])
+        row, new = row[kept], new[:-1][kept]
+        if not len(row):
             break
     return sa[row], new
 
@@ -370,12 +372,10 @@ def repeated_windows(rows: np.ndarray, texts: list[np.ndarray]) -> np.ndarray:
         shards.append(np.concatenate(part))
     sizes = np.array([len(t) + 1 for t in texts])
     begin = np.cumsum(sizes) - sizes
-    place, new = merge(shards, LENGTH)
-    own = np.repeat(np.arange(len(texts)), sizes)[place]
-    into = place - begin[own]
-    whole = into + LENGTH <= sizes[own] - 1
-    block = np.cumsum(new)[whole]
-    doc, start = rows[own[whole], 0], rows[own[whole], 1] + into[whole]
+    ends = np.arange(sizes.sum()) - np.repeat(begin, sizes) >= LENGTH
+    place, new = merge(shards, ends, LENGTH)
+    own = np.searchsorted(begin, place, side="right") - 1
+    doc, start, block = rows[own, 0], rows[own, 1] + place - begin[own], np.cumsum(new)
     order = np.lexsort((start, doc, block))
     block, doc, start = block[order], doc[order], start[order]
     again = np.concatenate(([False], block[1:] == block[:-1])) if len(block) else np.zeros(0, bool)

@@ -11,12 +11,17 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+import sys
+import types
 from array import array
 from collections.abc import Iterable
 
 import numpy as np
 
-KEPT = 400_000
+KEPT = 300_000
+"""Pieces kept at most while a task runs."""
+HOT = 120_000
+"""Pieces kept at most from task to task."""
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 # The tokenizers' split patterns with \\p{L}, \\p{N} and \\s written out for the common characters.
 L, N, S = "A-Za-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼½¾", r"\t\n\r \xa0"
@@ -24,7 +29,8 @@ SPLIT = {
     BYTE_BPE: re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{L}]+| ?[{N}]+| ?[^{S}{L}{N}]+|[{S}]+(?![^{S}])|[{S}]+"),
     WORD_BPE: re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{L}]+|[{N}]|[^{S}{L}{N}]+"),
 }
-UNCOMMON = re.compile(r"[^\t\n\r\x20-\x7e\xa0-ſ]|<\|(?:startoftext|endoftext)\|>")
+UNCOMMON = re.compile(r"[^\t\n\r\x20-\x7e\xa0-ſ]")
+SPECIAL = ("<|startoftext|>", "<|endoftext|>")
 LONG = 200
 """Pieces of more characters are not kept."""
 JOINED = 2000
@@ -53,6 +59,7 @@ class Encoder(dict):
 
     def __init__(self, path: str):
         super().__init__()
+        self.before = np.empty(0, np.int64)  # hashes of the pieces that the task before met
         self.tokenizer = load(path)
         name = os.path.basename(path)
         self.split = SPLIT.get(name)
@@ -62,7 +69,7 @@ class Encoder(dict):
             self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
 
     def whole(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
     def __missing__(self, piece: str) -> bytes:
         out = self.whole(piece)
@@ -82,9 +89,32 @@ class Encoder(dict):
     def encode_all(self, texts: Iterable[str | None]) -> list[bytes]:
         """The ids of each whole text, 4 bytes each; nulls count as empty."""
         if len(self) > KEPT:
-            self.clear()
+            self.settle()
         texts = [t or "" for t in texts]
-        pieces = [None if self.split is None or UNCOMMON.search(t) else self.split.findall(t.lower() if self.lower else t) for t in texts]
+        pieces = [None if self.split is None or UNCOMMON.search(t) or "<|" in t and any(x in t for x in SPECIAL) else self.split.findall(t.lower() if self.lower else t) for t in texts]
+        found = [x and list(map(self.get, x)) for x in pieces]
+        # one look-up a piece: those not known yet are filled in once they are learned
+        gaps = [x and [i for i, ids in enumerate(x) if ids is None] for x in found]
         if self.lower:
-            self.learn([p for p in set().union(*(x for x in pieces if x)) if p not in self and len(p) <= LONG])
-        return [b"".join(map(self.__getitem__, x)) if x is not None else self.whole(t) for t, x in zip(texts, pieces, strict=True)]
+            self.learn(list({p[i] for p, g in zip(pieces, gaps, strict=True) if g for i in g if len(p[i]) <= LONG}))
+        for x, p, g in zip(found, pieces, gaps, strict=True):
+            for i in g or ():
+                x[i] = self[p[i]]
+        return [b"".join(x or ()) if p is not None else self.whole(t) for t, p, x in zip(texts, pieces, found, strict=True)]
+
+    def settle(self) -> None:
+        """Keeps the pieces that were met both before the last settling and since: the common ones."""
+        met = np.fromiter(map(hash, self), np.int64, len(self))
+        common = np.isin(met, self.before)
+        self.before = met
+        kept = [x for x, hot in zip(self.items(), common.tolist(), strict=True) if hot][:HOT]
+        self.clear()
+        self.update(kept)
+
+
+def encoder(path: str) -> Encoder:
+    """This process's encoder for a tokenizer: later tasks of a worker find the pieces of earlier ones."""
+    kept = sys.modules.setdefault("_pagewright_pieces", types.ModuleType("_pagewright_pieces")).__dict__
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]

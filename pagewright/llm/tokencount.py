@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.llm._common import arrow_batches, shared_dir, table
-from pagewright.llm.pieces import Encoder, version
+from pagewright.llm.pieces import encoder, version
 
 LIMIT = 1024
 CACHE_SCHEMA = "content binary, tokenizer string, n_tokens long"
@@ -44,10 +44,11 @@ def fill_cache(docs: DataFrame, tokenizer_path: str, cache: str) -> None:
     misses = distinct.join(read_cache(spark, cache, tokenizer), "content", "left_anti")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer_path)
+        tokens = encoder(tokenizer_path)
         for b in batches:
-            n = [len(ids) // 4 for ids in encoder.encode_all(b.column(1).to_pylist())]
+            n = [len(ids) // 4 for ids in tokens.encode_all(b.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([tokenizer] * len(n), pa.string()), pa.array(n, pa.int64())], ["content", "tokenizer", "n_tokens"])
+        tokens.settle()
 
     misses.select("content", "text").mapInArrow(run, CACHE_SCHEMA).write.mode("append").parquet(cache)
 

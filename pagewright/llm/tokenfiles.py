@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.llm._common import arrow_batches, hash_fraction, shared_dir, shuffle_partitions, table
-from pagewright.llm.pieces import Encoder
+from pagewright.llm.pieces import Encoder, encoder
 
 BIN, IDX = b"PWTOK1\0\0", b"PWIDX1\0\0"
 ENTRY = np.dtype([("doc_id", "<i8"), ("flags", "u1"), ("offset", "<u8"), ("size", "<u4"), ("n_tokens", "<u4")])
@@ -96,7 +96,7 @@ def write_corpus(docs: DataFrame, tokenizer_path: str, out: str, end: int = END)
         if hashlib.sha256(known := _get(fs, f"{root}/dictionary.zdict")).digest() != digest:
             raise ValueError("another dictionary lies in the folder")
         pack = _codec(known)[0]
-        encoder = Encoder(tokenizer_path)
+        tokens = encoder(tokenizer_path)
         shard = TaskContext.get().partitionId()
         attempt = f"{root}/attempt-{shard}-{uuid.uuid4().hex}"
         entries, at = [], len(BIN) + 32
@@ -110,13 +110,14 @@ def write_corpus(docs: DataFrame, tokenizer_path: str, out: str, end: int = END)
             b: pa.RecordBatch | None = first
             while b is not None:
                 part = np.zeros(b.num_rows, ENTRY)
-                for i, (doc, ids) in enumerate(zip(b.column(0).to_pylist(), encoder.encode_all(b.column(1).to_pylist()), strict=True)):
+                for i, (doc, ids) in enumerate(zip(b.column(0).to_pylist(), tokens.encode_all(b.column(1).to_pylist()), strict=True)):
                     frame = pack.compress(ids + tail)
                     f.write(frame)
                     part[i] = (doc or 0, doc is None, at, len(frame), len(ids) // 4 + 1)
                     at += len(frame)
                 entries.append(part)
                 b = next(batches, None)
+        tokens.settle()
         index = np.concatenate(entries)
         _put(fs, f"{attempt}.idx", IDX + digest + struct.pack("<Q", len(index)) + index.tobytes())
         for kind in ("bin", "idx"):

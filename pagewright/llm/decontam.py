@@ -86,18 +86,22 @@ def decisions(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
     return found.withColumn("copy", F.explode(F.expr("sequence(1L, copies)"))).drop("copy", "copies", "item_sets")
 
 
+def _keyed(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
+    """docs joined to found(__d, __k, ...) by doc_id and text; its own columns may have any other names."""
+    return docs.withColumn("__dk", F.xxhash64("text")).join(found, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__dk") == F.col("__k")), how).drop("__dk", "__d", "__k")
+
+
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
     """docs without the contaminated documents; all others are kept whole, null doc_ids included."""
-    bad = decisions(docs, benchmark, n).where("contaminated").select(F.col("doc_id").alias("__d"), "dk").distinct()
-    return docs.withColumn("__dk", F.xxhash64("text")).join(bad, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__dk") == F.col("dk")), "left_anti").drop("__dk")
+    bad = decisions(docs, benchmark, n).where("contaminated").select(F.col("doc_id").alias("__d"), F.col("dk").alias("__k")).distinct()
+    return _keyed(docs, bad, "left_anti")
 
 
 def cut_spans(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
     """docs with a column clean_text: the words outside of hits, lower-cased and joined by spaces; null texts stay null."""
-    found = decisions(docs, benchmark, n).select(F.col("doc_id").alias("__d"), "dk", "spans").distinct()
-    both = docs.withColumn("__dk", F.xxhash64("text")).join(found, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__dk") == F.col("dk")))
-    kept = F.filter(F.transform(words(F.col("text")), lambda w, i: F.when(~F.exists("spans", lambda s: (s["pos"] <= i + 1) & (i + 1 < s["pos"] + s["len"])), w)), lambda w: w.isNotNull())
-    return both.withColumn("clean_text", F.when(F.col("text").isNotNull(), F.array_join(kept, " "))).drop("__dk", "__d", "dk", "spans")
+    found = decisions(docs, benchmark, n).select(F.col("doc_id").alias("__d"), F.col("dk").alias("__k"), F.col("spans").alias("__spans")).distinct()
+    kept = F.filter(F.transform(words(F.col("text")), lambda w, i: F.when(~F.exists("__spans", lambda s: (s["pos"] <= i + 1) & (i + 1 < s["pos"] + s["len"])), w)), lambda w: w.isNotNull())
+    return _keyed(docs, found, "inner").withColumn("clean_text", F.when(F.col("text").isNotNull(), F.array_join(kept, " "))).drop("__spans")
 
 
 def op8_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -125,8 +125,8 @@ def mixture(docs: DataFrame, keep: float, shares: dict | None = None, block: int
 
     Rows with one doc_id share its first place; rows without doc_id or place come last and stay.
     """
-    order = interleave(docs.dropDuplicates(["doc_id"]).select("doc_id", "source"), shares, block)
-    order = written(order.where("doc_id is not null").select(F.col("doc_id").alias("__id"), F.col("position").alias("__at")), "mixture")
+    order = interleave(docs.where("doc_id is not null").dropDuplicates(["doc_id"]).select("doc_id", "source"), shares, block)
+    order = written(order.select(F.col("doc_id").alias("__id"), F.col("position").alias("__at")), "mixture")
     limit = F.lit(order.where("__at is not null").count() * keep)
     placed = docs.join(order, F.col("doc_id") == F.col("__id"), "left").where((F.col("__at") < limit) | F.col("__at").isNull())
     n = shuffle_partitions(docs.sparkSession)

@@ -1,0 +1,49 @@
+"""The registered queries on the smallest tables, and the pipeline against its stages' rules."""
+
+import os
+
+import duckdb
+import pytest
+
+import corpus_pipeline
+from pagewright.llm import langid, queries, simhash
+
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
+
+@pytest.mark.parametrize("name", list(queries.QUERIES))
+def test_query(spark, name):
+    df = queries.QUERIES[name](spark, SF)
+    rows = df.collect()
+    table = "pages" if name.startswith("op5_") else "documents"
+    assert len(rows) == spark.read.parquet(f"{SF}/{table}.parquet").count()
+    if name in queries.ORACLE_SQL:
+        con = duckdb.connect()
+        for f in os.listdir(SF):
+            con.execute(f"create view {f[:-8]} as select * from '{SF}/{f}'")
+        rel = con.sql(queries.ORACLE_SQL[name])
+        at = [rel.columns.index(c) for c in df.columns]
+        assert sorted(map(repr, (tuple(r[i] for i in at) for r in rel.fetchall()))) == sorted(repr(tuple(r)) for r in rows)
+
+
+def test_pipeline(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_dedup", "decontaminate", "mix_sources", "token_output"]
+    now = docs
+    counts = [docs.count()]
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, SF).cache()
+        assert now.columns == docs.columns
+        counts.append(now.count())
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert counts[1] == sum(bool(langid.words(t)) for t in texts.values())
+    fps = {d: simhash.fingerprint(t) for d, t in texts.items() if langid.words(t)}
+    group = {d: d for d in fps}
+    for a in fps:
+        for b in fps:
+            if group[a] != group[b] and (fps[a] ^ fps[b]).bit_count() <= 3:
+                x, y = max(group[a], group[b]), min(group[a], group[b])
+                group = {k: y if g == x else g for k, g in group.items()}
+    assert counts[2] == len(set(group.values()))
+    assert counts[4] == -(-counts[3] * 9 // 10)
+    assert corpus_pipeline.run(spark, SF).count() == counts[4]

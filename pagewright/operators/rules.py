@@ -20,72 +20,142 @@ def finding(rows: DataFrame, cond: Column, severity: str, code: str, key: Column
     return rows.where(cond).select("book_id", F.lit(severity).alias("severity"), F.lit(code).alias("code"), key.cast("string").alias("key"))
 
 
-def verdict(books: DataFrame, findings: list[DataFrame], passed: str) -> DataFrame:
-    """All findings, and a passed row for each book without a blocking one."""
+def verdict(books: DataFrame, findings: list[DataFrame], passed: str, any_finding: bool = False) -> DataFrame:
+    """All findings, and a passed row for each book without a blocking one (without any, if any_finding)."""
     issues = reduce(DataFrame.unionByName, findings)
-    blocked = issues.where("severity = 'blocking'").select("book_id").distinct()
+    blocked = (issues if any_finding else issues.where("severity = 'blocking'")).select("book_id").distinct()
     clear = books.select("book_id").distinct().join(blocked, "book_id", "left_anti")
     return issues.unionByName(clear.select("book_id", F.lit("passed").alias("severity"), F.lit(passed).alias("code"), F.lit(None).cast("string").alias("key")))
 
 
+def optional(df: DataFrame, **kinds: str) -> DataFrame:
+    """df with the columns that it lacks, null."""
+    return df.withColumns({c: F.lit(None).cast(k) for c, k in kinds.items() if c not in df.columns})
+
+
+def supplied(physical: Column, index: Column) -> Column:
+    """Whether a row brings a physical page and an index that agree: it needs no anchors."""
+    return F.coalesce(index == physical - 1, F.lit(False))
+
+
 def outline_issues(outline: DataFrame, books: DataFrame) -> DataFrame:
-    """outline(book_id, sno, title, kind, printed, physical, include, allow_extraction), books(book_id, page_count)."""
-    o = outline.join(books, "book_id")
+    """outline(book_id, sno, title, kind, printed, physical, include, allow_extraction[, label, pdf_index]), books(book_id, page_count).
+
+    Only included rows are judged, but for duplicate_sno. A row needs a printed page, a label, or a physical page that agrees
+    with its index. A book passes without any finding.
+    """
+    o = optional(outline, label="string", pdf_index="int").join(books, "book_id")
     on = o.where("include")
     n = F.count("*").over(Window.partitionBy("book_id", "sno"))
-    sno = F.col("sno")
+    sno, blank = F.col("sno"), lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
     empty = books.join(outline.where("include").select("book_id").distinct(), "book_id", "left_anti")
+    placeless = (F.coalesce("printed", F.lit(0)) < 1) & (F.coalesce("label", F.lit("")) == "") & ~supplied(F.col("physical"), F.col("pdf_index"))
     return verdict(books, [
         finding(o.withColumn("n", n).select("book_id", "sno", "n").distinct(), F.col("n") > 1, "blocking", "duplicate_sno", sno),
         finding(empty, F.lit(True), "blocking", "empty_outline", F.lit(None)),
-        finding(on, F.trim(F.coalesce("title", F.lit(""))) == "", "blocking", "empty_title", sno),
-        finding(on, F.col("printed") < 1, "blocking", "invalid_printed_start", sno),
+        finding(on, blank("title"), "blocking", "empty_title", sno),
+        finding(on, placeless, "blocking", "invalid_printed_start", sno),
         finding(on, ~F.coalesce("kind", F.lit("")).isin(*KINDS), "warning", "unknown_kind", sno),
-        finding(on, ~F.col("allow_extraction"), "blocking", "boundary_not_extraction_enabled", sno),
-        finding(on, (F.col("physical") < 1) | (F.col("physical") > F.col("page_count")), "blocking", "physical_out_of_range", sno),
-    ], "outline_valid")
+        finding(on, ~F.coalesce("allow_extraction", F.lit(True)), "blocking", "boundary_not_extraction_enabled", sno),
+        finding(on, (F.col("page_count") > 0) & (F.col("physical") > F.col("page_count")), "blocking", "physical_out_of_range", sno),
+    ], "outline_valid", any_finding=True)
+
+
+def placed_entries(entries: DataFrame, anchors: DataFrame) -> DataFrame:
+    """The included entries with the physical page that they bring or that the anchors give."""
+    return mapping.resolve_entries(optional(entries, given_physical="int", given_index="int").where("include"), anchors)
 
 
 def mapping_issues(anchors: DataFrame, entries: DataFrame, books: DataFrame) -> DataFrame:
-    """Findings on anchors(book_id, printed, physical, pdf_index, exception) and the entries that they should place."""
+    """Findings on anchors(book_id, printed, physical, pdf_index, exception) and the entries(book_id, sno, printed, include[, given_physical,
+    given_index]) that they should place. A book all of whose printed entries bring their physical page needs no anchors."""
     plain = anchors.join(books, "book_id")
-    count = anchors.where("not exception").groupBy("book_id").agg(F.count("*").alias("n"))
-    few = books.join(count, "book_id", "left").where(F.coalesce("n", F.lit(0)) < 2)
+    count = anchors.groupBy("book_id").agg(F.count_if(~F.col("exception")).alias("n"), F.count_if("exception").alias("x"))
     segs = mapping.segments(anchors)
-    state = segs.groupBy("book_id").agg(F.count_if("confirmed").alias("sure"), F.count_if(~F.col("confirmed")).alias("loose"))
-    placed = mapping.resolve(entries.where("include"), anchors)
+    state = segs.groupBy("book_id").agg(F.count_if("confirmed").alias("sure"))
+    placed = placed_entries(entries, anchors).where("printed <> 0")
+    need = placed.where("method <> 'supplied'").select("book_id").distinct()
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    needy = books.join(need, "book_id", "left_semi").join(count, "book_id", "left").join(state, "book_id", "left")
     pair = F.format_string("%d:%d", "printed", "physical")
     return verdict(books, [
-        finding(few, F.lit(True), "blocking", "two_anchors_required", F.lit(None)),
+        finding(needy, zero("n") < 2, "blocking", "two_anchors_required", F.lit(None)),
         finding(plain, (F.col("printed") < 1) | (F.col("physical") < 1), "blocking", "invalid_anchor", pair),
         finding(plain, F.col("pdf_index") != F.col("physical") - 1, "blocking", "index_mismatch", pair),
-        finding(plain, F.col("physical") > F.col("page_count"), "blocking", "anchor_out_of_range", pair),
+        finding(plain, (F.col("page_count") > 0) & (F.col("physical") > F.col("page_count")), "blocking", "anchor_out_of_range", pair),
         finding(mapping.conflicts(anchors), F.lit(True), "blocking", "offset_conflict", F.col("printed")),
         finding(segs, ~F.col("confirmed"), "warning", "segment_unconfirmed", F.col("printed_start")),
-        finding(state, (F.col("sure") != 1) | (F.col("loose") > 0), "warning", "offset_unresolved", F.lit(None)),
-        finding(placed, F.col("physical").isNull() & F.col("printed").isNotNull(), "blocking", "uncovered_entry", F.col("sno")),
+        finding(needy, (zero("sure") == 0) & (zero("x") == 0), "blocking", "offset_unresolved", F.lit(None)),
+        finding(placed, F.col("physical").isNull(), "blocking", "uncovered_entry", F.col("sno")),
     ], "mapping_valid")
 
 
-def preflight_issues(outline: DataFrame, books: DataFrame, state: DataFrame) -> DataFrame:
-    """Whether sections may be extracted: state(book_id, present, hash_ok, outline_approved, mapping_approved), outline with resolved physical pages."""
-    s = books.select("book_id").join(state, "book_id", "left")
+def preflight_issues(outline: DataFrame, anchors: DataFrame, books: DataFrame, state: DataFrame) -> DataFrame:
+    """Whether sections may be extracted, with the findings on outline and mapping.
+
+    outline as for outline_issues, with pos where sno doesn't order it; state(book_id, present, hash_ok, outline_approved, mapping_approved
+    [, approval_pdf_ok, approval_outline_ok]). A book whose file is missing gets that finding alone; one passes without any finding.
+    """
+    s = optional(books.select("book_id").join(state, "book_id", "left"), approval_pdf_ok="boolean", approval_outline_ok="boolean")
     have = s.where(F.coalesce("present", F.lit(False)))
-    on = outline.where("include").join(books, "book_id").join(have.select("book_id"), "book_id", "left_semi")
-    falls = on.withColumn("before", F.lag("physical").over(Window.partitionBy("book_id").orderBy("sno")))
+    here = lambda df: df.join(have.select("book_id"), "book_id", "left_semi")
+    known = here(books)
+    entries = here(optional(outline, pdf_index="int", pos="long")).withColumns({"given_physical": F.col("physical"), "given_index": F.col("pdf_index"), "pos": F.coalesce("pos", F.col("sno"))}).drop("physical")
+    on = placed_entries(entries, anchors).join(books, "book_id")
+    fits = F.coalesce(F.col("physical").between(1, F.col("page_count")), F.lit(False))
+    falls = on.where(fits).withColumn("before", F.lag("physical").over(Window.partitionBy("book_id").orderBy("pos")))
     name = T.section_filename(F.col("sno"), F.col("title"))
     twice = on.groupBy("book_id", name.alias("name")).agg(F.count("*").alias("n"))
     none = F.lit(None)
     no = lambda c: ~F.coalesce(F.col(c), F.lit(False))
+    stale = lambda c: ~no("outline_approved") & ~F.coalesce(F.col(c), F.lit(True))
+    parts = [outline_issues(here(outline), known), mapping_issues(here(anchors), entries, known)]
     return verdict(books, [
         finding(s, no("present"), "blocking", "pdf_missing", none),
         finding(have, no("hash_ok"), "blocking", "registered_hash_mismatch", none),
         finding(have, no("outline_approved"), "blocking", "outline_not_approved", none),
+        finding(have, stale("approval_pdf_ok"), "blocking", "approval_pdf_mismatch", none),
+        finding(have, stale("approval_outline_ok"), "blocking", "outline_hash_mismatch", none),
+        *(p.where("severity <> 'passed'") for p in parts),
         finding(have, no("mapping_approved"), "blocking", "mapping_not_approved", none),
-        finding(on, F.col("physical").isNull() | (F.col("physical") < 1) | (F.col("physical") > F.col("page_count")), "blocking", "mapped_page_invalid", F.col("sno")),
+        finding(on, ~fits, "blocking", "mapped_page_invalid", F.col("sno")),
         finding(falls, F.col("physical") < F.col("before"), "blocking", "non_monotonic_physical", F.col("sno")),
         finding(twice, F.col("n") > 1, "blocking", "filename_collision", F.col("name")),
-    ], "preflight_passed")
+    ], "preflight_passed", any_finding=True)
+
+
+# What an operator should do about a finding.
+ACTIONS = {
+    "two_anchors_required": "Add at least two agreeing anchors.",
+    "invalid_anchor": "Fix the anchor's printed/physical page — both must be positive.",
+    "index_mismatch": "Re-add the anchor from the preview so its PDF index matches physical page minus one.",
+    "anchor_out_of_range": "Remove or correct the anchor — its physical page exceeds the PDF length.",
+    "offset_conflict": "Remove or mark one of the disagreeing anchors as an exception.",
+    "segment_unconfirmed": "Add a second agreeing anchor near this page to confirm the segment.",
+    "offset_unresolved": "Add at least two agreeing anchors to establish a confirmed segment.",
+    "uncovered_entry": "Add an anchor near this printed page.",
+}
+
+
+def suggested_action(code: Column) -> Column:
+    """The text for a code, empty for others."""
+    texts = F.create_map(*(F.lit(x) for pair in ACTIONS.items() for x in pair))
+    return F.coalesce(texts[code], F.lit(""))
+
+
+def approve(books: DataFrame, issues: DataFrame, approved: DataFrame) -> DataFrame:
+    """(book_id, verdict): approved, or why not: already_approved (revoke it first), blocked. approved(book_id) holds what is approved now."""
+    blocked = issues.where("severity = 'blocking'").select("book_id").distinct().withColumn("__blocked", F.lit(True))
+    now = approved.select("book_id").distinct().withColumn("__now", F.lit(True))
+    got = books.select("book_id").join(blocked, "book_id", "left").join(now, "book_id", "left")
+    return got.select("book_id", F.when(F.col("__now"), "already_approved").when(F.col("__blocked"), "blocked").otherwise("approved").alias("verdict"))
+
+
+def extractable(rows: DataFrame, approved: DataFrame) -> DataFrame:
+    """(book_id, verdict) of rows with start and end resolved or null: a book is refused whole without an approved mapping or with one unresolved row."""
+    got = rows.groupBy("book_id").agg(F.count_if(F.col("physical_start").isNull() | F.col("physical_end").isNull()).alias("open"))
+    got = got.join(approved.select("book_id").distinct().withColumn("__ok", F.lit(True)), "book_id", "left")
+    return got.select("book_id", F.when(F.col("__ok").isNull(), "mapping_not_approved").when(F.col("open") > 0, "unresolved_rows").otherwise("extract").alias("verdict"))
 
 
 def json_row_issues(rows: DataFrame) -> DataFrame:

@@ -14,32 +14,36 @@ from pagewright.plans import query
 from pagewright.plans.books import FILENAME, RESOLVED, entries
 
 DRAFT = """o as (select p_brand as book_id, cast(p_partkey % 23 as int) as sno, case when p_partkey % 17 = 0 then ' ' else p_name end as title, case when p_partkey % 13 = 0 then 'odd' else 'section' end as kind,
-p_size - 1 as printed, p_size as physical, p_partkey % 3 <> 0 as include, p_partkey % 19 <> 0 as allow_extraction, p_partkey as pos from part),
+case when p_partkey % 10 <> 9 then p_size - 1 end as printed, p_size as physical, case when p_partkey % 2 = 0 then p_size - 1 end as pdf_index, case when p_partkey % 4 = 1 then 'ix' end as label,
+p_partkey % 3 <> 0 as include, p_partkey % 19 <> 0 as allow_extraction, p_partkey as pos from part where p_size < 48 or p_partkey % 2 = 0),
 books as (select p_brand as book_id, 45 as page_count from part group by 1)"""
 
 
 def _draft(spark, d):
     k = F.col("p_partkey")
     part = I.table(spark, d, "part")
-    o = part.select(
+    o = part.where((F.col("p_size") < 48) | (k % 2 == 0)).select(
         F.col("p_brand").alias("book_id"), (k % 23).cast("int").alias("sno"), F.when(k % 17 == 0, " ").otherwise(F.col("p_name")).alias("title"), F.when(k % 13 == 0, "odd").otherwise("section").alias("kind"),
-        (F.col("p_size") - 1).alias("printed"), F.col("p_size").alias("physical"), (k % 3 != 0).alias("include"), (k % 19 != 0).alias("allow_extraction"), k.alias("pos"),
+        F.when(k % 10 != 9, F.col("p_size") - 1).alias("printed"), F.col("p_size").alias("physical"), F.when(k % 2 == 0, F.col("p_size") - 1).alias("pdf_index"), F.when(k % 4 == 1, "ix").alias("label"),
+        (k % 3 != 0).alias("include"), (k % 19 != 0).alias("allow_extraction"), k.alias("pos"),
     )
     return o, part.select(F.col("p_brand").alias("book_id")).distinct().withColumn("page_count", F.lit(45))
 
 
-PASSED = "select book_id, 'passed' as severity, '{0}' as code, null as key from books where book_id not in (select book_id from i where severity = 'blocking')"
+def _passed(code, among="i where severity = 'blocking'"):
+    return f"select book_id, 'passed' as severity, '{code}' as code, null as key from books where book_id not in (select book_id from {among})"
 
 
-@query("issues_outline", f"""with {DRAFT}, inc as (select * from o where include), i as (
-select distinct book_id, 'blocking' as severity, 'duplicate_sno' as code, cast(sno as varchar) as key from (select *, count(*) over (partition by book_id, sno) as n from o) where n > 1
+OUTLINE_FOUND = """select distinct book_id, 'blocking' as severity, 'duplicate_sno' as code, cast(sno as varchar) as key from (select *, count(*) over (partition by book_id, sno) as n from o) where n > 1
 union all select book_id, 'blocking', 'empty_outline', null from books where book_id not in (select book_id from inc)
 union all select book_id, 'blocking', 'empty_title', cast(sno as varchar) from inc where trim(title) = ''
-union all select book_id, 'blocking', 'invalid_printed_start', cast(sno as varchar) from inc where printed < 1
+union all select book_id, 'blocking', 'invalid_printed_start', cast(sno as varchar) from inc where coalesce(printed, 0) < 1 and label is null and pdf_index is null
 union all select book_id, 'warning', 'unknown_kind', cast(sno as varchar) from inc where kind = 'odd'
 union all select book_id, 'blocking', 'boundary_not_extraction_enabled', cast(sno as varchar) from inc where not allow_extraction
-union all select book_id, 'blocking', 'physical_out_of_range', cast(sno as varchar) from inc where physical < 1 or physical > 45)
-select * from i union all {PASSED.format("outline_valid")}""")
+union all select book_id, 'blocking', 'physical_out_of_range', cast(sno as varchar) from inc where physical > 45"""
+
+
+@query("issues_outline", f"with {DRAFT}, inc as (select * from o where include), i as ({OUTLINE_FOUND}) select * from i union all {_passed('outline_valid', 'i')}")
 def issues_outline(spark, d):
     return rules.outline_issues(*_draft(spark, d))
 
@@ -49,30 +53,44 @@ select book_id, 'blocking' as severity, 'two_anchors_required' as code, cast(nul
 union all select book_id, 'blocking', 'anchor_out_of_range', printed || ':' || physical from anchors join books using (book_id) where physical > page_count
 union all select book_id, 'blocking', 'offset_conflict', cast(printed as varchar) from anchors where not exception group by book_id, printed having count(distinct physical) > 1
 union all select book_id, 'warning', 'segment_unconfirmed', cast(printed_start as varchar) from segments where not confirmed
-union all select book_id, 'warning', 'offset_unresolved', null from segments group by book_id having count(*) filter (where confirmed) <> 1 or count(*) filter (where not confirmed) > 0
+union all select book_id, 'blocking', 'offset_unresolved', null from books where book_id not in (select book_id from segments where confirmed union all select book_id from anchors where exception)
 union all select book_id, 'blocking', 'uncovered_entry', cast(sno as varchar) from resolved where physical is null)
-select * from i union all {PASSED.format("mapping_valid")}""")
+select * from i union all {_passed("mapping_valid")}""")
 def issues_mapping(spark, d):
     books = I.pages(spark, d).groupBy("book_id").agg(F.max("page").alias("page_count"))
     return rules.mapping_issues(I.anchors(spark, d), entries(spark, d), books)
 
 
-STATE = "state as (select book_id, row_number() over (order by book_id) % 5 <> 0 as present, row_number() over (order by book_id) % 4 <> 0 as hash_ok, true as outline_approved, row_number() over (order by book_id) % 3 <> 0 as mapping_approved from books)"
+# Anchors of the draft's books: (1, 2) and (30, 31), but every third book has the first alone.
+STATE = """ranked as (select *, row_number() over (order by book_id) as k from books), state as (select book_id, k, k % 5 <> 0 as present, k % 4 <> 0 as hash_ok, k % 7 <> 0 as outline_approved, k % 6 <> 1 as approval_pdf_ok, k % 9 <> 1 as approval_outline_ok, k % 3 <> 0 as mapping_approved from ranked)"""
+PREFLIGHT = f"""{DRAFT}, {STATE}, have as (select * from state where present), inc as (select o.*, k % 3 = 0 as lone from o join have using (book_id) where include),
+placed as (select *, case when pdf_index is not null then physical when printed is null then physical when not lone then printed + 1 when printed = 1 then 2 end as page, pdf_index is not null as brought from inc),
+need as (select distinct book_id from placed where printed <> 0 and not brought), lone as (select book_id from have where k % 3 = 0)"""
 
 
-@query("issues_preflight", f"""with {DRAFT}, {STATE}, have as (select * from state where present), inc as (select o.* from o join have using (book_id) where include), i as (
+@query("issues_preflight", f"""with {PREFLIGHT}, i as (
 select book_id, 'blocking' as severity, 'pdf_missing' as code, cast(null as varchar) as key from state where not present
 union all select book_id, 'blocking', 'registered_hash_mismatch', null from have where not hash_ok
+union all select book_id, 'blocking', 'outline_not_approved', null from have where not outline_approved
+union all select book_id, 'blocking', 'approval_pdf_mismatch', null from have where outline_approved and not approval_pdf_ok
+union all select book_id, 'blocking', 'outline_hash_mismatch', null from have where outline_approved and not approval_outline_ok
+union all select * from ({OUTLINE_FOUND}) where book_id in (select book_id from have)
+union all select book_id, 'blocking', unnest(['two_anchors_required', 'offset_unresolved']), null from lone where book_id in (select book_id from need)
+union all select book_id, 'warning', 'segment_unconfirmed', '1' from lone
+union all select book_id, 'blocking', 'uncovered_entry', cast(sno as varchar) from placed where page is null and printed <> 0
 union all select book_id, 'blocking', 'mapping_not_approved', null from have where not mapping_approved
-union all select book_id, 'blocking', 'mapped_page_invalid', cast(pos as varchar) from inc where physical < 1 or physical > 45
-union all select book_id, 'blocking', 'non_monotonic_physical', cast(pos as varchar) from (select *, lag(physical) over (partition by book_id order by pos) as b from inc) where physical < b
-union all select book_id, 'blocking', 'filename_collision', {FILENAME.format("title", "pos")} as f from inc group by book_id, f having count(*) > 1)
-select * from i union all {PASSED.format("preflight_passed")}""")
+union all select book_id, 'blocking', 'mapped_page_invalid', cast(sno as varchar) from placed where not coalesce(page between 1 and 45, false)
+union all select book_id, 'blocking', 'non_monotonic_physical', cast(sno as varchar) from (select *, lag(page) over (partition by book_id order by pos) as b from placed where page between 1 and 45) where page < b
+union all select book_id, 'blocking', 'filename_collision', {FILENAME.format("title", "sno")} as f from inc group by book_id, f having count(*) > 1)
+select * from i union all {_passed("preflight_passed", "i")}""")
 def issues_preflight(spark, d):
     o, books = _draft(spark, d)
-    rank = F.row_number().over(Window.orderBy("book_id"))  # a row a book
-    state = books.select("book_id", rank.alias("k")).select("book_id", (F.col("k") % 5 != 0).alias("present"), (F.col("k") % 4 != 0).alias("hash_ok"), F.lit(True).alias("outline_approved"), (F.col("k") % 3 != 0).alias("mapping_approved"))
-    return rules.preflight_issues(o.withColumn("sno", F.col("pos").cast("int")), books, state)
+    k = F.col("k")
+    ranked = books.withColumn("k", F.row_number().over(Window.orderBy("book_id")))  # a row a book
+    state = ranked.select("book_id", (k % 5 != 0).alias("present"), (k % 4 != 0).alias("hash_ok"), (k % 7 != 0).alias("outline_approved"), (k % 6 != 1).alias("approval_pdf_ok"), (k % 9 != 1).alias("approval_outline_ok"), (k % 3 != 0).alias("mapping_approved"))
+    printed = F.explode(F.when(k % 3 == 0, F.array(F.lit(1))).otherwise(F.array(F.lit(1), F.lit(30))))
+    anchors = ranked.select("book_id", printed.alias("printed")).select("book_id", "printed", (F.col("printed") + 1).alias("physical"), F.col("printed").alias("pdf_index"), F.lit(False).alias("exception"))
+    return rules.preflight_issues(o, anchors, books, state)
 
 
 MERGE = """draft as (select p_brand as book_id, p_partkey as pos, cast(p_partkey as int) as sno, p_name as title, 'section' as kind, 1 as level, p_size as printed from part where p_partkey % 16 < 4),

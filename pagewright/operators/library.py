@@ -33,6 +33,13 @@ def latest_runs(runs: DataFrame) -> DataFrame:
     return out.where("k = 1").select("book_id", "run_id", "started_at", "status", "runs")
 
 
+def default_run(runs: DataFrame, saved: DataFrame) -> DataFrame:
+    """(book_id, run_id): the completed run that saved(book_id, run_id) names, else the one that started last."""
+    done = runs.where("status = 'completed'").join(saved.select("book_id", F.col("run_id").alias("__saved")).dropDuplicates(["book_id"]), "book_id", "left")
+    first = F.struct((F.col("run_id") == F.coalesce("__saved", F.lit(""))).alias("named"), "started_at", "run_id")
+    return done.groupBy("book_id").agg(F.max_by("run_id", first).alias("run_id"))
+
+
 def labels(runs: DataFrame, books: DataFrame) -> DataFrame:
     """Runs with their book's file name, or its id where it is not in the library."""
     return runs.join(books.select("book_id", "filename"), "book_id", "left").select("run_id", "book_id", "status", F.coalesce("filename", F.col("book_id").cast("string")).alias("label"))

@@ -75,3 +75,26 @@ def next_anchor(resolved: DataFrame) -> DataFrame:
     w = Window.partitionBy("book_id").orderBy(F.col("kind").isin("part", "chapter").cast("int").desc(), F.asc_nulls_last("printed"), "sno")
     open_ = resolved.where("physical is null and printed is not null")
     return open_.withColumn("k", F.row_number().over(w)).where("k = 1").select("book_id", "sno", "title", "kind", "printed")
+
+
+def physical_rows(rows: DataFrame, anchors: DataFrame) -> DataFrame:
+    """rows(book_id, sno, start, end, already_physical) with physical_start, physical_end and unresolved (the page that has no place).
+
+    Physical rows pass through. Of a printed row both ends must resolve, or it has neither.
+    """
+    keep = rows.columns
+    placed = resolve(rows.withColumn("printed", F.col("start")), anchors).withColumnsRenamed({"physical": "__s"}).drop("printed", "method")
+    placed = resolve(placed.withColumn("printed", F.col("end")), anchors).withColumnsRenamed({"physical": "__e"}).drop("printed", "method")
+    given = F.col("already_physical")
+    both = F.col("__s").isNotNull() & F.col("__e").isNotNull()
+    ends = [F.when(given, F.col(c)).when(both, F.col(p)).alias(name) for c, p, name in (("start", "__s", "physical_start"), ("end", "__e", "physical_end"))]
+    bad = F.when(~given & ~both, F.when(F.col("__s").isNull(), F.col("start")).otherwise(F.col("end")))
+    return placed.select(*keep, *ends, bad.alias("unresolved"))
+
+
+def overview(resolved: DataFrame, anchors: DataFrame, issues: DataFrame) -> DataFrame:
+    """For each book: entries, how many have a page, the pages that they span, confirmed segments, warnings and blocking findings."""
+    n = resolved.groupBy("book_id").agg(F.count("*").alias("entries"), F.count("physical").alias("resolved"), F.min("physical").alias("first_page"), F.max("physical").alias("last_page"))
+    sure = segments(anchors).groupBy("book_id").agg(F.count_if("confirmed").alias("confirmed"))
+    found = issues.groupBy("book_id").agg(F.count_if(F.col("severity") == "warning").alias("warnings"), F.count_if(F.col("severity") == "blocking").alias("blocking"))
+    return n.join(sure, "book_id", "left").join(found, "book_id", "left").fillna(0, ["confirmed", "warnings", "blocking"])

@@ -70,6 +70,21 @@ def extract_sections(pages: DataFrame, outline: DataFrame) -> DataFrame:
     return found.groupBy(*keys).agg(F.array_join(F.transform(ordered, lambda x: x["body"]), "\n\n").alias("text"))
 
 
+def printed_ends(rows: DataFrame) -> DataFrame:
+    """rows(book_id, pos, printed, start, end) of included entries with printed_end.
+
+    It is a page before the next entry's printed page where that is larger, else as many pages on as the section is long;
+    null where there is no printed page to count from.
+    """
+    after = F.lead("printed").over(in_book())
+    return rows.withColumn("printed_end", F.when(after > F.coalesce("printed", F.lit(0)), after - 1).otherwise(F.col("printed") + F.col("end") - F.col("start")))
+
+
+def renumbered(rows: DataFrame) -> DataFrame:
+    """rows(book_id, pos, ...) with sno counted anew from 1 in order of pos."""
+    return rows.withColumn("sno", F.row_number().over(in_book()))
+
+
 def manifest(sections: DataFrame, run_id: str, least: int = 1) -> DataFrame:
     """Sections without their text: file name, characters, and whether the section was written or skipped as too short."""
     return sections.select(
@@ -103,6 +118,13 @@ def search(sections: DataFrame, query: str = "", book_id: str | None = None, kin
     return out.withColumn("snippet", T.snippet(F.coalesce("text", F.lit("")), query))
 
 
+def search_summary(hits: DataFrame, runs: DataFrame) -> DataFrame:
+    """(run_id, book_id, hits, summary) for every run record: how many of its written sections were found."""
+    n = hits.groupBy("run_id", "book_id").agg(F.count("*").alias("hits"))
+    got = runs.join(n, ["run_id", "book_id"], "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
+    return got.select("run_id", "book_id", "hits", F.format_string("%d of %d", "hits", "written_count").alias("summary"))
+
+
 def navigation(sections: DataFrame) -> DataFrame:
     """Each section's neighbours and its place among its book's sections."""
     w = Window.partitionBy("book_id").orderBy("sno")

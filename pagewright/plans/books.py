@@ -203,3 +203,28 @@ def mapping_resolve(spark, d):
 @query("next_anchor", f"""with {RESOLVED} select book_id, sno, 'Entry ' || sno as title, kind, printed from (select *, row_number() over (partition by book_id order by kind <> 'chapter', printed, sno) as k from resolved where physical is null) where k = 1""")
 def next_anchor(spark, d):
     return M.next_anchor(M.resolve(entries(spark, d), I.anchors(spark, d)))
+
+
+@query("printed_ends", f"""with {STARTS}, n as (select *, case when pos % 5 <> 0 then start - 1 end as printed, start + 3 as "end" from rows), l as (select *, lead(printed) over (partition by book_id order by pos) as after from n)
+select book_id, pos, printed, case when after > coalesce(printed, 0) then after - 1 else printed + "end" - start end as printed_end from l""")
+def printed_ends(spark, d):
+    rows = _starts(spark, d).withColumns({"printed": F.when(F.col("pos") % 5 != 0, F.col("start") - 1), "end": F.col("start") + 3})
+    return P.printed_ends(rows).select("book_id", "pos", "printed", "printed_end")
+
+
+@query("physical_rows", f"""with {RESOLVED}, spot as (select book_id, printed, physical from resolved), r as (select book_id, sno, printed as start, printed + 1 as "end", sno % 7 = 0 as given from entries),
+j as (select r.*, a.physical as s, b.physical as e from r left join spot a on a.book_id = r.book_id and a.printed = r.start left join spot b on b.book_id = r.book_id and b.printed = r."end")
+select book_id, sno, case when given then start when e is not null then s end as physical_start, case when given then "end" when s is not null then e end as physical_end,
+case when not given and s is null then start when not given and e is null then "end" end as unresolved from j where sno < (select max(sno) from entries m where m.book_id = j.book_id)""")
+def physical_rows(spark, d):
+    e = entries(spark, d)
+    last = e.groupBy("book_id").agg(F.max("sno").alias("last"))
+    rows = e.join(last, "book_id").where("sno < last").select("book_id", "sno", F.col("printed").alias("start"), (F.col("printed") + 1).alias("end"), (F.col("sno") % 7 == 0).alias("already_physical"))
+    return M.physical_rows(rows, I.anchors(spark, d)).select("book_id", "sno", "physical_start", "physical_end", "unresolved")
+
+
+@query("search_summary", f"""with {I.ALL}, n as (select book_id, count(*) filter (where length(text) >= 500) as w, count(*) filter (where contains(replace(lower(title || E'\\n' || text), 'ß', 'ss'), '{WANTED}')) as hits from sections group by 1)
+select '{RUN}' as run_id, book_id, hits, hits || ' of ' || w as summary from n""")
+def search_summary(spark, d):
+    sections = I.sections(spark, d)
+    return P.search_summary(P.search(sections, WANTED).withColumn("run_id", F.lit(RUN)), P.run_accounting(P.manifest(sections, RUN, 500)))

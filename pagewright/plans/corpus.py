@@ -166,6 +166,13 @@ def latest_run(spark, d):
     return L.latest_runs(_runs(spark, d))
 
 
+@query("default_run", f"""with {RUNS}, s as (select book_id, min(run_id) as named from runs where book_id % 3 = 0 group by 1)
+select book_id, coalesce(max(run_id) filter (where run_id = named), max_by(run_id, (started_at, run_id))) as run_id from runs left join s using (book_id) where status = 'completed' group by 1""")
+def default_run(spark, d):
+    runs = _runs(spark, d)
+    return L.default_run(runs, runs.where("book_id % 3 = 0").groupBy("book_id").agg(F.min("run_id").alias("run_id")))
+
+
 @query("history_labels", f"with {RUNS}, books as (select c_custkey as book_id, c_name as filename from customer where c_custkey % 3 <> 0) select run_id, r.book_id, status, coalesce(filename, cast(r.book_id as varchar)) as label from runs r left join books b using (book_id)")
 def history_labels(spark, d):
     books = I.table(spark, d, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("book_id"), F.col("c_name").alias("filename"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pagewright.operators import detect as D
 from pagewright.plans import inputs as I
 from pagewright.plans import query
+from pagewright.sources import tables
 
 # Pages made from part: each brand is a book, its rows in order its lines, seven to a page, the first page headed.
 LEAVES = r"""n as (select *, cast(row_number() over (partition by p_brand order by p_partkey) as int) as k from part),
@@ -82,3 +83,21 @@ x as (select *, coalesce(caption and lead(free) over p, false) as takes, lead(te
 select book_id, page, line_no, case when takes and starts_with(text, 'MAP') then '[MAP] Map ' || substr(text, 5) || ': ' || next when takes then '[TABLE] Table ' || substr(text, 7) else text end as text from x where not taken""")
 def caption_merge(spark, d):
     return D.merge_captions(_sized(spark, d)).select("book_id", "page", "line_no", "text")
+
+
+@query("page_scan", f"""with {LEAVES}, p as (select book_id, page, string_agg(line, E'\\n' order by line_no) as text from leaves group by 1, 2), l as (select book_id, max(page) as last from p group by 1),
+s as (select *, case when page <= 12 and regexp_matches(text, '(?i)\\bcontents\\b') then 'toc' when page > last - 12 and contains(lower(text), 'index') then 'index' end as source from p join l using (book_id))
+select book_id, page, source, case source when 'toc' then 0.9::double else 0.65::double end as confidence from s where source is not null""")
+def page_scan(spark, d):
+    return D.scan_pages(_leaves(spark, d)).select("book_id", "page", "source", "confidence")
+
+
+DETECTED = "rows as (select p_brand as book_id, p_name as title, p_size as start, p_retailprice as y, case when p_partkey % 3 = 0 then 'toc' else 'heading' end as kind, p_size + 2 as \"end\" from part)"
+
+
+@query("outline_template", f"""with {DETECTED} select book_id, cast(row_number() over (partition by book_id order by start, y, title) as int) as "Sno", title, kind, case when kind = 'toc' then start end as printed_start,
+case when kind = 'toc' then "end" end as printed_end, case when kind <> 'toc' then start end as physical_start, case when kind <> 'toc' then "end" end as physical_end from rows""")
+def outline_template(spark, d):
+    kind = F.when(F.col("p_partkey") % 3 == 0, "toc").otherwise("heading")
+    rows = I.table(spark, d, "part").select(F.col("p_brand").alias("book_id"), F.col("p_name").alias("title"), F.col("p_size").alias("start"), F.col("p_retailprice").alias("y"), kind.alias("kind"), (F.col("p_size") + 2).alias("end"))
+    return tables.outline_template(rows)

@@ -7,9 +7,15 @@ dies half way is never read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable, Iterable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pagewright.functions import text as T
+from pagewright.operators.library import identified
+
 OUTLINE = (
     "Sno INT, title STRING, kind STRING, printed_start INT, physical_start INT, pdf_page_index INT, confidence DOUBLE, source STRING, review_status STRING, include STRING, "
     "printed_page_label STRING, level INT, edited_by_user STRING, source_sno STRING, parent_sno STRING, raw_import_hash STRING, entry_id STRING, parent_entry_id STRING, "
@@ -58,3 +64,86 @@ def read_sections(spark: SparkSession, root: str, run_id: str | None = None) ->
     df = df if run_id is None else df.where(F.col("run_id") == run_id)
     done = read_runs(spark, root).where("status = 'completed'").select("run_id").distinct()
     return df.join(done, "run_id", "left_semi")
+
+
+PAGE = "file STRING, book_id STRING, page INT, text STRING, error STRING"
+
+
+def read_files(spark: SparkSession, folder: str, only: str = "", pattern: str = "*.pdf") -> DataFrame:
+    """(name, source_hash, book_id, size_bytes) of the files whose name contains only, in any case."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
+    name = F.substring_index("path", "/", -1)
+    return identified(files.select(name.alias("name"), "content").where(F.lower("name").contains(only.lower())))
+
+
+def read_pages(spark: SparkSession, folder: str, adapter: Callable[[bytes], Iterable[str | None]], only: str = "", pattern: str = "*.pdf") -> DataFrame:
+    """The pages that adapter yields for each file's bytes, counted from 1. A file that it can't read gives one row with the error and no page.
+
+    A file is decoded in one task, batches hold 64 MB or one file: a book fits a task, a library is spread over all.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20)
+    name = F.substring_index("path", "/", -1)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select(name.alias("file"), T.book_id(F.sha2("content", 256)).alias("book_id"), "content").where(F.lower("file").contains(only.lower()))
+
+    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for file, book, content in b.itertuples(index=False):
+                try:
+                    rows += [(file, book, k, text, None) for k, text in enumerate(adapter(content), 1)]
+                except Exception as e:  # noqa: BLE001 - one unreadable file must not stop the library
+                    rows = [r for r in rows if r[0] != file] + [(file, book, None, None, f"{type(e).__name__}: {e}")]
+            yield pd.DataFrame(rows, columns=["file", "book_id", "page", "text", "error"]).astype({"page": "Int32"})
+
+    return files.mapInPandas(decode, PAGE)
+
+
+def read_seeds(spark: SparkSession, path: str) -> DataFrame:
+    """(title, printed) of a chapter CSV, columns title or Title and printed_start or PrintedStart; rows without a title or a page from 1 are left out."""
+    df = spark.read.option("caseSensitive", "true").csv(path, header=True)
+    col = lambda *names: F.coalesce(*(F.when(F.trim(n) != "", F.col(n)) for n in names if n in df.columns), F.lit(None).cast("string"))
+    got = df.select(T.squeeze(col("title", "Title")).alias("title"), F.trim(col("printed_start", "PrintedStart")).try_cast("int").alias("printed"))
+    return got.where("title <> '' and printed >= 1")
+
+
+def read_chapters(spark: SparkSession, folder: str) -> DataFrame:
+    """(chapter, title, para_id, text, word_count) of the folders chapter_*: the non-blank lines of corpus.txt, titles from meta.json or the folder's name."""
+    chapter = F.regexp_extract(F.input_file_name(), r"(chapter_[^/]+)/[^/]+$", 1)
+    text = spark.read.text(f"{folder}/chapter_*/corpus.txt", wholetext=True).select(chapter.alias("chapter"), F.col("value").alias("text"))
+    meta = spark.read.text(f"{folder}/chapter_*", wholetext=True, pathGlobFilter="meta.json").select(chapter.alias("chapter"), F.get_json_object("value", "$.title").alias("title"))
+    lines = F.transform(T.paragraphs(F.col("text"), r"\r\n|\r|\n"), lambda x: F.trim(x))
+    got = text.join(meta, "chapter", "left").select("chapter", F.coalesce("title", "chapter").alias("title"), F.posexplode(lines).alias("para_id", "text"))
+    return got.select("chapter", "title", (F.col("para_id") + 1).alias("para_id"), "text", T.word_count(F.col("text")).alias("word_count"))
+
+
+def outline_template(rows: DataFrame) -> DataFrame:
+    """rows(book_id, title, start, y, kind[, end]) as a CSV template to fill in: pages of contents entries are printed ones, all others physical."""
+    toc = F.col("kind") == "toc"
+    sno = F.row_number().over(Window.partitionBy("book_id").orderBy("start", "y", "title"))
+    sides = [(f"{side}_{end}", cond, end) for side, cond in (("printed", toc), ("physical", ~toc)) for end in ("start", "end") if end in rows.columns]
+    return rows.select("book_id", sno.alias("Sno"), "title", "kind", *(F.when(cond, F.col(c)).alias(name) for name, cond, c in sides))
+
+
+def write_template(rows: DataFrame, path: str) -> None:
+    """A folder of CSV files a book, book_id in the folder's name."""
+    outline_template(rows).repartition("book_id").sortWithinPartitions("book_id", "Sno").write.mode("overwrite").partitionBy("book_id").csv(path, header=True)
+
+
+def page_texts(pages: DataFrame) -> DataFrame:
+    """(book_id, page, value): each page's text under a line with its number."""
+    return pages.select("book_id", "page", F.format_string("--- Physical page %d ---\n%s", "page", F.coalesce("text", F.lit(""))).alias("value"))
+
+
+def outline_text(rows: DataFrame) -> DataFrame:
+    """(book_id, value): the outline as lines "title | page", by sno; a label goes before a printed page."""
+    page = F.coalesce(F.when(F.col("label") != "", F.col("label")), F.col("printed").cast("string"), F.lit(""))
+    line = F.struct("sno", F.concat(F.coalesce("title", F.lit("")), F.lit(" | "), page).alias("line"))
+    return rows.groupBy("book_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(line)), lambda x: x["line"]), "\n").alias("value"))
+
+
+def write_chapters(chapters: DataFrame, path: str, mode: str = "oneline") -> None:
+    """chapters(chapter, ..., paragraphs array) as corpus files and one line of metadata each; paragraphs stand a line apart, or two with mode wrap."""
+    gap = "\n" if mode == "oneline" else "\n\n"
+    body = chapters.select("chapter", F.array_join("paragraphs", gap).alias("value"))
+    body.write.mode("overwrite").partitionBy("chapter").text(f"{path}/corpus")
+    chapters.drop("paragraphs").withColumn("paragraph_mode", F.lit(mode)).write.mode("overwrite").json(f"{path}/meta")

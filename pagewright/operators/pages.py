@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from pagewright.functions import text as T
 
 SHARDS = 64
+BLOCK = 1 << 16
+"""Pages that one task looks through for the next start."""
 
 
-def numbered(df: DataFrame, group: str, order: str, name: str) -> DataFrame:
-    """df with the place of each row in its group (from 1) in the order of a numeric column.
+def numbered(df: DataFrame, group: str, order: str, name: str, total: str | None = None) -> DataFrame:
+    """df with the place of each row in its group (from 1) in the order of a numeric column, and the group's size as total.
 
     A group may hold a third of all rows, so rows are numbered within ranges of the order column and
     shifted by the rows of earlier ranges; no task holds a whole group.
@@ -21,15 +23,17 @@ def numbered(df: DataFrame, group: str, order: str, name: str) -> DataFrame:
     df = df.withColumn("__shard", shard)
     counts = df.groupBy(group, "__shard").agg(F.count("*").alias("__n"))
     before = F.sum("__n").over(Window.partitionBy(group).orderBy("__shard").rowsBetween(Window.unboundedPreceding, -1))
-    starts = counts.select(F.col(group).alias("__g"), F.col("__shard").alias("__s"), F.coalesce(before, F.lit(0)).alias("__start"))
+    starts = counts.select(F.col(group).alias("__g"), F.col("__shard").alias("__s"), F.coalesce(before, F.lit(0)).alias("__start"), F.sum("__n").over(Window.partitionBy(group)).alias("__all"))
     place = F.row_number().over(Window.partitionBy(group, "__shard").orderBy(order))
     joined = df.withColumn("__place", place).join(starts, F.col(group).eqNullSafe(F.col("__g")) & (F.col("__shard") == F.col("__s")))
-    return joined.withColumn(name, (F.col("__place") + F.col("__start")).cast("int")).drop("__place", "__start", "__shard", "__g", "__s")
+    joined = joined.withColumn(name, (F.col("__place") + F.col("__start")).cast("int"))
+    joined = joined.withColumn(total, F.col("__all").cast("int")) if total else joined
+    return joined.drop("__place", "__start", "__all", "__shard", "__g", "__s")
 
 
 def pages_from_documents(docs: DataFrame) -> DataFrame:
-    """(book_id, page, doc_id, text): a source is a book, its documents its pages."""
-    return numbered(docs.select(F.col("source").alias("book_id"), "doc_id", "text"), "book_id", "doc_id", "page").select("book_id", "page", "doc_id", "text")
+    """(book_id, page, doc_id, text, page_count): a source is a book, its documents its pages."""
+    return numbered(docs.select(F.col("source").alias("book_id"), "doc_id", "text"), "book_id", "doc_id", "page", "page_count").select("book_id", "page", "doc_id", "text", "page_count")
 
 
 def in_book() -> Window:
@@ -50,10 +54,18 @@ def ranges_to_next_start(rows: DataFrame, last: str = "max_page") -> DataFrame:
 
 
 def ranges_of_sorted(rows: DataFrame, last: str = "max_page") -> DataFrame:
-    """As ranges_to_next_start for rows whose starts don't fall: a range frame instead of lists."""
-    w = Window.partitionBy("book_id").orderBy("start").rangeBetween(1, Window.unboundedFollowing)
-    larger = F.min("start").over(w)
-    return rows.withColumn("end", F.when(larger.isNull(), F.col(last)).otherwise(larger - 1))
+    """As ranges_to_next_start for rows whose starts don't fall.
+
+    The next larger start is looked up within blocks of BLOCK pages, and across blocks in a table of their first starts,
+    so no task holds a whole book; frames that grow from the end cost a step a row.
+    """
+    df = rows.withColumn("__block", F.floor(F.col("start") / BLOCK))
+    after = F.lead("__first").over(Window.partitionBy("__g").orderBy("__b"))
+    firsts = df.groupBy(F.col("book_id").alias("__g"), F.col("__block").alias("__b")).agg(F.min("start").alias("__first")).withColumn("__after", after).drop("__first")
+    w = Window.partitionBy("book_id", "__block").orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, -1)
+    df = df.withColumn("__larger", F.min("start").over(w)).join(firsts, F.col("book_id").eqNullSafe(F.col("__g")) & (F.col("__block") == F.col("__b")))
+    larger = F.coalesce("__larger", "__after")
+    return df.withColumn("end", F.when(larger.isNull(), F.col(last)).otherwise(larger - 1)).drop("__block", "__larger", "__after", "__g", "__b")
 
 
 def extract_sections(pages: DataFrame, outline: DataFrame) -> DataFrame:

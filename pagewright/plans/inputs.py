@@ -21,10 +21,8 @@ def pages(spark: SparkSession, d: str) -> DataFrame:
 
 def outline(pages: DataFrame) -> DataFrame:
     """(book_id, pos, sno, title, start, max_page): a section every EVERY pages."""
-    last = pages.groupBy("book_id").agg(F.max("page").alias("max_page"))
     heads = pages.where((F.col("page") - 1) % EVERY == 0).withColumn("sno", F.floor((F.col("page") - 1) / EVERY).cast("int") + 1)
-    heads = heads.select("book_id", F.col("sno").alias("pos"), "sno", F.concat(F.lit("Section "), F.col("sno").cast("string")).alias("title"), F.col("page").alias("start"))
-    return heads.join(last, "book_id")
+    return heads.select("book_id", F.col("sno").alias("pos"), "sno", F.concat(F.lit("Section "), F.col("sno").cast("string")).alias("title"), F.col("page").alias("start"), F.col("page_count").alias("max_page"))
 
 
 def sections(spark: SparkSession, d: str) -> DataFrame:

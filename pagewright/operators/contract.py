@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pagewright.operators.rules import KINDS
+
 # The schema (fields in alphabetical order, as the digest wants them) and its word lists.
 NAME, VERSION = "book_outline_contract", "1.0.0"
 ENTRY = (
@@ -28,7 +30,6 @@ DOCUMENT = (
     "pagination struct<default_offset:int,mapping_sidecar:string,printed_to_physical_mapping_status:string>, schema_name string, schema_version string, "
     "validation struct<errors:array<variant>,status:string,validated_at:string,validator_version:string,warnings:array<variant>>"
 )
-KINDS = ("part", "chapter", "section", "subsection", "analytical_section", "preface", "introduction", "appendix", "notes", "bibliography", "index", "caption", "topic", "glossary", "acknowledgement", "other")
 WORDS = {
     "numbering_system": ("arabic", "roman_lower", "roman_upper", "unnumbered"),
     "boundary": ("proposed", "verified_printed", "verified_physical", "rejected"),

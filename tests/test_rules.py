@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from pagewright.operators import rules
+from pagewright.operators import parse, rules
 
 OUTLINE = "book_id string, sno int, title string, kind string, printed int, label string, physical int, pdf_index int, include boolean, allow_extraction boolean"
 ANCHORS = "book_id string, printed int, physical int, pdf_index int, exception boolean"
@@ -49,3 +49,13 @@ def test_gates(spark):
     assert {tuple(r) for r in rules.extractable(rows, books.where("book_id <> 'c'")).collect()} == {("a", "unresolved_rows"), ("b", "extract"), ("c", "mapping_not_approved")}
     got = spark.createDataFrame([("uncovered_entry",), ("other",)], "code string").select(rules.suggested_action(F.col("code")).alias("t")).collect()
     assert [r.t for r in got] == ["Add an anchor near this printed page.", ""]
+
+
+def test_shape_of_json_rows(spark):
+    text = '[{"sno": "1", "title": "A", "colour": 1, "children": [{"sno": "2", "include": "yes"}, 7]}, "x", {"children": 3, "source": " "}, {"children": null, "include": false, "source": "toc"}, {"source": null, "include": null}]'
+    flat = parse.flatten_json(spark.createDataFrame([("b", text)], "book_id string, outline string"))
+    got = {(r.code, r.key) for r in rules.json_shape_issues(flat).collect()}
+    assert got == {
+        ("unknown_key", "$[0].colour"), ("invalid_include", "$[0].children[0].include"), ("row_not_object", "$[0].children[1]"), ("row_not_object", "$[1]"), ("invalid_children", "$[2].children"),
+        ("invalid_source", "$[2].source"), ("invalid_source", "$[4].source"), ("invalid_include", "$[4].include"),
+    }

@@ -2,10 +2,12 @@
 
 A rule (action, "host/path") fits the pages of its host and all subdomains whose path starts with its
 path; the longest rule wins (block before allow among equals). Pages without a rule get the verdict of
-their host: trust is personalised PageRank over links between hosts from trusted seeds, distrust the
-same over reversed links from blocked seeds. A host's seed weights are the shares of its pages that a
-rule allows and blocks. Links within a host, one a page, hold rank on it. A host is blocked if its
-distrust exceeds its trust by THRESHOLD or more.
+their host. A host's seed weights are the shares of its pages that a rule allows and blocks. Trust is
+personalised PageRank over links between hosts from trusted seeds; links within a host, one a page,
+hold rank on it. Distrust runs back along links from blocked seeds: a host has its own blocked share and,
+for the rest, the damped mean distrust of what it links to (links within it count as clean). So it doesn't
+hang on how many other hosts link to the same place: each host of a farm gets what a farm of one gets.
+A host is blocked if its distrust exceeds its trust by THRESHOLD or more.
 
 Null urls and urls without "://" have an empty host and path and are judged like one more host. Null
 html has no links. Repeated rows and null page_ids are returned like any other; each counts as a page.
@@ -67,14 +69,16 @@ def host_edges(pages: DataFrame) -> DataFrame:
 def propagate(edges: DataFrame, seeds: DataFrame, steps: int = STEPS, damping: float = DAMPING) -> DataFrame:
     """seeds(host, st, sd) -> (host, trust, distrust) after the given number of steps."""
     out = edges.groupBy("src").agg(F.sum("n").alias("o"))
-    into = edges.groupBy("dst").agg(F.sum("n").alias("i"))
-    e = written(edges.join(out, "src").join(into, "dst").select("src", "dst", (F.col("n") / F.col("o")).alias("fw"), (F.col("n") / F.col("i")).alias("bw")), "url-edges")
+    rest = seeds.select(F.col("host").alias("src"), (1 - F.col("sd")).alias("rest"))
+    fw = F.col("n") / F.col("o")
+    bw = F.when(F.col("src") == F.col("dst"), 0.0).otherwise(fw * F.coalesce("rest", F.lit(1.0)))
+    e = written(edges.join(out, "src").join(rest, "src", "left").select("src", "dst", fw.alias("fw"), bw.alias("bw")), "url-edges")
     zero = F.lit(0.0)
     now = seeds.select("host", F.col("st").alias("t"), F.col("sd").alias("d"))
-    own = seeds.select("host", ((1 - damping) * F.col("st")).alias("t"), ((1 - damping) * F.col("sd")).alias("d"))
+    own = seeds.select("host", ((1 - damping) * F.col("st")).alias("t"), F.col("sd").alias("d"))
     for k in range(steps):
         ahead = e.join(now, F.col("src") == F.col("host")).select(F.col("dst").alias("host"), (damping * F.col("t") * F.col("fw")).alias("t"), zero.alias("d"))
-        back = e.join(now, F.col("dst") == F.col("host")).select(F.col("src").alias("host"), zero.alias("t"), (damping * F.col("d") * F.col("bw")).alias("d"))
+        back = e.where("bw > 0").join(now, F.col("dst") == F.col("host")).select(F.col("src").alias("host"), zero.alias("t"), (damping * F.col("d") * F.col("bw")).alias("d"))
         now = reduce(DataFrame.union, [own, ahead, back]).groupBy("host").agg(F.sum("t").alias("t"), F.sum("d").alias("d"))
         if k % CUT_EVERY == CUT_EVERY - 1 or k == steps - 1:
             now = written(now, "url-ranks")

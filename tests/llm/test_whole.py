@@ -3,9 +3,21 @@
 import pytest
 
 import corpus_pipeline
+from pagewright.llm import urltrust
 
 
 @pytest.mark.parametrize("sources", [1, 4])
 def test_mix_stage_keeps_every_document(spark, sources):
     df = spark.createDataFrame([(i, f"text {i}", "en", f"s{i % sources}", 6) for i in range(40)], "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r.doc_id for r in corpus_pipeline.mix_sources(spark, df, "").collect()) == list(range(40))
+
+
+@pytest.mark.parametrize("n", [1, 2, 10, 100])
+def test_farms_of_any_size_are_blocked(spark, n):
+    bad, clean = '<a href="http://bad.test/com">x</a>', '<a href="http://clean.test/">x</a>'
+    pages = [(0, "http://bad.test/spam", bad), (1, "http://clean.test/", None), (2, "http://mixed.test/", clean * 9 + bad)]
+    pages += [(10 + i, f"http://farm{i}.test/", bad * 9) for i in range(n)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in urltrust.url_verdicts(df, (("block", "bad.test/"),)).collect()}
+    assert {got[10 + i] for i in range(n)} == {"block"}
+    assert got[0] == "block" and got[1] == got[2] == "allow"

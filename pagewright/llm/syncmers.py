@@ -2,14 +2,14 @@
 
 A k-mer of K code points is an anchor if the smallest hash among its substrings of S code points lies at
 its start or end. That depends on the k-mer alone, so a shared passage has the same anchors in any
-context. A fingerprint keeps the SKETCH anchors of smallest hash, each with the place of its first
-occurrence, as text: "hash@place" in hexadecimal, joined by spaces, in order of hash. A text without
+context. A fingerprint keeps every distinct anchor, with the place of its first occurrence, as text:
+"hash@place" in hexadecimal, joined by spaces, in order of hash; it grows with the text. A text without
 such an anchor (shorter than K, say) has one for the whole text; an empty text has none.
 
-The likeness of two fingerprints takes the smallest hashes of both together and counts the shared
-ones that keep the same order of places in both (longest increasing run): with j their share, the
-likeness is 2 j / (1 + j), the share of common anchors in two texts of equal length. Two empty
-fingerprints are alike (1), an empty and another are not (0).
+The likeness of two fingerprints counts the shared anchors that keep the same order of places in both
+(longest increasing run): with j their share of the anchors of both together, the likeness is
+2 j / (1 + j), the share of common anchors in two texts of equal length. Two empty fingerprints are
+alike (1), an empty and another are not (0).
 
 Null texts count as empty. Null doc_ids come last in descending order; rows with equal doc_id follow
 each other by text, descending. One row alone is its own next document. No rows in, no rows out.
@@ -29,7 +29,6 @@ from pyspark.sql import functions as F
 from pagewright.llm._common import arrow_batches, shuffle_partitions, table
 
 K, S = 32, 12
-SKETCH = 64
 BASE = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xD6E8FEB86659FD93)
 LEAST_ID = -(1 << 63)
@@ -72,10 +71,10 @@ def anchors(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fingerprint(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """The SKETCH smallest distinct hashes, in order, and the place of each one's first occurrence."""
+    """All distinct hashes, in order, and the place of each one's first occurrence."""
     h, at = anchors(text or "")
     h, first = np.unique(h, return_index=True)
-    return h[:SKETCH], at[first[:SKETCH]]
+    return h, at[first]
 
 
 def render(fp: tuple[np.ndarray, np.ndarray]) -> str:
@@ -85,14 +84,12 @@ def render(fp: tuple[np.ndarray, np.ndarray]) -> str:
 def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     if not len(a[0]) or not len(b[0]):
         return float(len(a[0]) == len(b[0]))
-    both = np.union1d(a[0], b[0])[:SKETCH]
     shared, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    i, j = i[shared <= both[-1]], j[shared <= both[-1]]
     run: list[int] = []
     for p in b[1][j][np.argsort(a[1][i])].tolist():
         k = bisect.bisect_left(run, p)
         run[k : k + 1] = [p]
-    share = len(run) / len(both)
+    share = len(run) / (len(a[0]) + len(b[0]) - len(shared))
     return 2 * share / (1 + share)
 
 

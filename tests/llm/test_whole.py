@@ -3,7 +3,7 @@
 import pytest
 
 import corpus_pipeline
-from pagewright.llm import urltrust
+from pagewright.llm import syncmers, urltrust
 
 
 @pytest.mark.parametrize("sources", [1, 4])
@@ -21,3 +21,13 @@ def test_farms_of_any_size_are_blocked(spark, n):
     got = {r.page_id: r.verdict for r in urltrust.url_verdicts(df, (("block", "bad.test/"),)).collect()}
     assert {got[10 + i] for i in range(n)} == {"block"}
     assert got[0] == "block" and got[1] == got[2] == "allow"
+
+
+def test_syncmers_find_a_short_passage_in_a_long_text():
+    passage = " ".join(f"inner{i * i}" for i in range(12))
+    long = " ".join(f"word{i % 977}x{i}" for i in range(30_000))
+    a = syncmers.fingerprint(long[:90_000] + passage + long[90_000:])
+    assert len(a[0]) == len(set(syncmers.anchors(long[:90_000] + passage + long[90_000:])[0].tolist()))
+    b = syncmers.fingerprint(passage)
+    assert set(b[0].tolist()) <= set(a[0].tolist())
+    assert syncmers.likeness(a, b) > 0 and syncmers.likeness(a, a) == 1

@@ -14,7 +14,7 @@ the input are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -119,20 +119,25 @@ def links(distinct: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id) for every row: component_id is the smallest doc_id reachable by links."""
-    fps = written(fingerprints(docs), "simhash-fp")
+    return classes(written(fingerprints(docs), "simhash-fp"))
+
+
+def classes(fps: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """fps(doc_id, fp) -> (doc_id, fp, component_id); more: further edges (u, v) of fingerprints, beside their links."""
     distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
-    roots = connected_components(links(distinct.select("fp"))).withColumnRenamed("node", "fp")
+    edges = links(distinct.select("fp"))
+    roots = connected_components(edges.union(more) if more is not None else edges).withColumnRenamed("node", "fp")
     of = written(distinct.join(roots, "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("root")), "simhash-root")
     least = of.groupBy("root").agg(F.min("first").alias("component_id"))
     return fps.join(of.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, near: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
     """docs with one document of each class: the one whose doc_id is the class id; of rows with one doc_id, one.
 
     Rows without a doc_id can't be named as the one that stays and are left alone.
     """
-    kept = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
+    kept = near(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
     keyed = docs.withColumn("__keep", F.col("doc_id").cast("long"))
     one = keyed.where("__keep is not null").join(kept, "__keep", "left_semi").dropDuplicates(["__keep"])
     return one.unionByName(keyed.where("__keep is null")).drop("__keep")

@@ -1,9 +1,10 @@
 """Operators and stages take the whole of their input."""
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from pagewright.llm import syncmers, urltrust
+from pagewright.llm import minhash, simhash, syncmers, urltrust
 
 
 @pytest.mark.parametrize("sources", [1, 4])
@@ -31,3 +32,31 @@ def test_syncmers_find_a_short_passage_in_a_long_text():
     b = syncmers.fingerprint(passage)
     assert set(b[0].tolist()) <= set(a[0].tolist())
     assert syncmers.likeness(a, b) > 0 and syncmers.likeness(a, a) == 1
+
+
+def test_near_dedup_stage_finds_shingle_sets_alike(spark):
+    rng = np.random.default_rng(7)
+    vocabulary = [f"w{i}" for i in range(500)]
+    texts = []
+    for i in range(120):
+        t = list(rng.choice(vocabulary, rng.integers(3, 90))) if i % 3 == 0 else list(texts[-1])
+        for at in rng.integers(0, len(t), (i % 3 != 0) * rng.integers(0, 3)):
+            t[at] = str(rng.choice(vocabulary))
+        texts.append(t)
+    texts = [" ".join(t) for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in map(str.split, texts)]
+    fps = [simhash.fingerprint(t) for t in texts]
+    group, missed = list(range(len(texts))), 0
+    for i in range(len(texts)):
+        for j in range(i):
+            near = 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])
+            missed += near and (fps[i] ^ fps[j]).bit_count() > 3
+            if near or (fps[i] ^ fps[j]).bit_count() <= 3:
+                x, y = max(group[i], group[j]), min(group[i], group[j])
+                group = [y if g == x else g for g in group]
+    assert missed > 10
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.near_dedup(spark, df, "")
+    assert out.columns == df.columns and sorted(r.doc_id for r in out.collect()) == sorted(set(group))
+    assert minhash.near_copies(df.limit(0)).count() == 0

@@ -2,7 +2,8 @@
 
 Documents of each source form blocks. Target weights are whole shares c_s of a period of D slots
 (their sum is D). Block j of source s is released at slot floor(j D / c_s) and due by slot
-ceil((j + 1) D / c_s). Each slot takes, of the blocks released, the one with the earliest deadline. As
+ceil((j + 1) D / c_s). D is PERIOD, or more where there are many sources (long_enough). Each slot
+takes, of the blocks released, the one with the earliest deadline. As
 the windows repeat with each period, one period is scheduled on the driver (D entries, a parameter)
 and every block's slot follows by arithmetic. While a source lasts, after any number of slots it has
 received its target within less than one block. When a source ends its slots stay empty and the
@@ -26,8 +27,14 @@ PERIOD = 1024
 BLOCK = 16
 POWER = 0.7
 SHARDS = 256
-MAX_SOURCES = PERIOD
-"""Each source needs a slot of the period: more sources than slots ask for a longer period."""
+SLOTS = 4
+"""Slots of the period for each source on average, at least: with more sources than PERIOD / SLOTS it grows."""
+BROADCAST_SLOTS = 1 << 17
+
+
+def long_enough(sources: int, period: int = PERIOD) -> int:
+    """The period itself, or the next power of two that has SLOTS slots for each source."""
+    return max(period, 1 << (SLOTS * sources - 1).bit_length()) if sources else period
 
 
 def tempered_shares(counts: dict, power: float = POWER, period: int = PERIOD) -> dict:
@@ -93,8 +100,8 @@ def interleave(docs: DataFrame, shares: dict | None = None, block: int = BLOCK,
     spark = docs.sparkSession
     rows = docs.select("doc_id", "source")
     if shares is None:
-        counts = {r[0]: r[1] for r in rows.groupBy("source").count().limit(period + 1).collect()}
-        shares = tempered_shares(counts, power, period) if counts else {}
+        counts = {r[0]: r[1] for r in rows.groupBy("source").count().collect()}
+        shares = tempered_shares(counts, power, long_enough(len(counts), period)) if counts else {}
     total = sum(shares.values())
     slots = spark.createDataFrame(
         [(s, shares[s], j, slot) for s, j, _, _, slot in schedule(shares)] if shares else [], "s string, c long, j long, at long"
@@ -103,9 +110,10 @@ def interleave(docs: DataFrame, shares: dict | None = None, block: int = BLOCK,
     shard = F.when(F.col("doc_id").isNull(), -1).otherwise(F.conv(F.substring(h, 1, 2), 16, 10).cast("int"))
     ranked = _ranked(rows.withColumn("__h", F.when(F.col("doc_id").isNotNull(), h)), ["source"], shard, [F.asc_nulls_first("__h"), F.asc_nulls_first("doc_id")], "rank").drop("__h")
     ranked = ranked.withColumn("block", F.floor(F.col("rank") / block))
-    share = F.broadcast(slots.select("s", "c").distinct())
+    small = F.broadcast if total <= BROADCAST_SLOTS else lambda df: df
+    share = small(slots.select("s", "c").distinct())
     ranked = ranked.join(share, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    placed = ranked.join(F.broadcast(slots.drop("c")), F.col("source").eqNullSafe(F.col("s")) & (F.col("block") % F.col("c") == F.col("j")), "left").drop("s", "j")
+    placed = ranked.join(small(slots.drop("c")), F.col("source").eqNullSafe(F.col("s")) & (F.col("block") % F.col("c") == F.col("j")), "left").drop("s", "j")
     lap = F.floor(F.col("block") / F.col("c"))
     placed = placed.select(
         "doc_id", "source", (F.col("c") / F.lit(float(max(total, 1)))).alias("share"), "block",

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from pagewright.llm import minhash, simhash, syncmers, urltrust
+from pagewright.llm import minhash, mixing, simhash, syncmers, urltrust
 
 
 @pytest.mark.parametrize("sources", [1, 4])
@@ -60,3 +60,10 @@ def test_near_dedup_stage_finds_shingle_sets_alike(spark):
     out = corpus_pipeline.near_dedup(spark, df, "")
     assert out.columns == df.columns and sorted(r.doc_id for r in out.collect()) == sorted(set(group))
     assert minhash.near_copies(df.limit(0)).count() == 0
+
+
+def test_mixing_takes_more_sources_than_its_least_period(spark):
+    df = spark.range(1500).selectExpr("id as doc_id", "concat('s', id % 1300) as source")
+    got = mixing.interleave(df).collect()
+    assert sorted(r.position for r in got) == list(range(1500)) and len({r.source for r in got}) == 1300
+    assert mixing.long_enough(20) == mixing.PERIOD and mixing.long_enough(1300) == 8192

@@ -98,12 +98,13 @@ cand as (select p_brand as book_id, p_partkey as pos, case when p_partkey % 4 =
 'section' as kind, 1 as level, case when p_partkey % 2 = 0 then p_size else p_size + 100 end as printed, p_partkey % 9 <> 0 as include, p_partkey % 4 = 0 as sno_explicit from part where p_partkey % 16 in (4, 5, 6))"""
 
 
-def _merge_inputs(spark, d):
+def _merge_inputs(spark, d, whole=True):
+    """Draft and candidates: all of part, or the rows that the SQL of merge_exact takes."""
     k = F.col("p_partkey")
     part = I.table(spark, d, "part").select(F.col("p_brand").alias("book_id"), k.alias("pos"), "p_name", "p_size", "p_partkey")
-    draft = part.where(k % 16 < 4).select("book_id", "pos", k.cast("int").alias("sno"), F.col("p_name").alias("title"), F.lit("section").alias("kind"), F.lit(1).alias("level"), F.col("p_size").alias("printed"))
-    cand = part.where((k % 16).isin(4, 5, 6)).select(
-        "book_id", "pos", F.when(k % 4 == 0, (k - 1).cast("int")).alias("sno"), F.when(k % 5 == 0, F.concat("p_name", F.lit(" two"))).otherwise(F.col("p_name")).alias("title"), F.lit("section").alias("kind"),
+    draft = part.where(k % 16 < (8 if whole else 4)).select("book_id", "pos", k.cast("int").alias("sno"), F.col("p_name").alias("title"), F.lit("section").alias("kind"), F.lit(1).alias("level"), F.col("p_size").alias("printed"))
+    cand = part.where(k % 16 >= 8 if whole else (k % 16).isin(4, 5, 6)).select(
+        "book_id", "pos", F.when(k % 4 == 0, (k - (8 if whole else 1)).cast("int")).alias("sno"), F.when(k % 5 == 0, F.concat("p_name", F.lit(" two"))).otherwise(F.col("p_name")).alias("title"), F.lit("section").alias("kind"),
         F.lit(1).alias("level"), F.when(k % 2 == 0, F.col("p_size")).otherwise(F.col("p_size") + 100).alias("printed"), (k % 9 != 0).alias("include"), (k % 4 == 0).alias("sno_explicit"),
     )
     return draft, cand
@@ -116,7 +117,7 @@ case when not include then 'excluded' when t is not null then 'same_title' when
 case when not include then null when t is not null then t when p is not null then p when sno_explicit then s end as draft_sno
 from c left join t using (book_id, key) left join p using (book_id, printed) left join s on s.book_id = c.book_id and s.sno = c.sno""")
 def merge_exact(spark, d):
-    return merge.analyse(*_merge_inputs(spark, d), fuzzy=False)
+    return merge.analyse(*_merge_inputs(spark, d, whole=False), fuzzy=False)
 
 
 @query("merge_fuzzy")

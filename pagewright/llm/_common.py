@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -30,10 +33,14 @@ def arrow_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under the cluster's shared checkpoint folder; a temporary one only where none is set."""
+    """A new folder under the cluster's shared checkpoint folder. Where none is set, only a session within one
+    process (local[n]) gets a temporary one: executors elsewhere wouldn't see it."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._conf.get("spark.checkpoint.dir")
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir isn't set: these operators need a folder that all executors share")
         base = tempfile.mkdtemp(prefix="pagewright-")
+        atexit.register(shutil.rmtree, base, True)
         spark.sparkContext.setCheckpointDir(base)
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -44,7 +51,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["_folder"] = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Removes the folder of a written table that nothing reads any more."""
+    folder = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df.__dict__["_folder"])
+    folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -55,6 +70,11 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def hash_fraction(col: Column) -> Column:
-    """A fixed pseudo-random number in [0, 1) for each value."""
-    return F.pmod(F.xxhash64(col), F.lit(1 << 30)) / float(1 << 30)
+def hash_fraction(*cols: str) -> Column:
+    """A fixed pseudo-random number in [0, 1) for each row's values. Nulls alone would all get the same: with doc_id goes the text."""
+    return F.pmod(F.xxhash64(*cols), F.lit(1 << 30)) / float(1 << 30)
+
+
+def excerpt(text: str, chars: int) -> Column:
+    """The text, or of a longer one so many characters from a place that its hash gives. For training samples only."""
+    return F.expr(f"substr({text}, cast(1 + pmod(xxhash64({text}), greatest(length({text}) - {chars}, 0) + 1) as int), {chars})")

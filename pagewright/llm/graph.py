@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm._common import written
+from pagewright.llm._common import discard, written
 
 MAX_ROUNDS = 60
 
@@ -41,7 +41,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     for _ in range(MAX_ROUNDS):
         if not before[0]:
             break
-        now = written(_small_star(_large_star(now)), "cc")
+        last, now = now, written(_small_star(_large_star(now)), "cc")
+        discard(last)
         after = sign(now)
         if after == before:
             break

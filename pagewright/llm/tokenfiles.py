@@ -14,9 +14,9 @@ follow each other by doc_id (nulls first, ties by text), as do the documents of
 whose dictionary digest is not that of the dictionary. A shard is written under a name of its attempt
 and renamed when complete, so a task that runs again replaces it with the same bytes.
 
-The dictionary is trained on a sample of SAMPLE documents (in expectation, by a hash of doc_id) of
-SAMPLE_BYTES at most; too few samples give an empty dictionary. Null texts count as empty and hold the end id alone.
-No documents: a manifest without shards, and no rows.
+The dictionary is trained on a sample of SAMPLE distinct texts (in expectation, by a hash of doc_id and text), of
+longer ones an excerpt of SAMPLE_CHARS characters; too few samples give an empty dictionary. Null texts count as empty and hold the end id alone.
+Other columns of the input are not read. No documents: a manifest without shards, and no rows.
 """
 
 from __future__ import annotations
@@ -38,13 +38,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm._common import arrow_batches, hash_fraction, shared_dir, shuffle_partitions, table
+from pagewright.llm._common import arrow_batches, excerpt, hash_fraction, shared_dir, shuffle_partitions, table
 from pagewright.llm.pieces import Encoder, encoder
 
 BIN, IDX = b"PWTOK1\0\0", b"PWIDX1\0\0"
 ENTRY = np.dtype([("doc_id", "<i8"), ("flags", "u1"), ("offset", "<u8"), ("size", "<u4"), ("n_tokens", "<u4")])
 END = 2
-SAMPLE, SAMPLE_BYTES, DICTIONARY_BYTES = 1000, 16_384, 65_536
+SAMPLE, SAMPLE_CHARS, DICTIONARY_BYTES = 1000, 16_384, 65_536
 LEVEL = 3
 
 
@@ -65,7 +65,7 @@ def _get(fs: pafs.FileSystem, path: str) -> bytes:
 def train_dictionary(docs: DataFrame, tokenizer_path: str) -> bytes:
     """A dictionary for id arrays, trained on a bounded sample."""
     n = docs.count()
-    sample = docs.where((hash_fraction(F.col("doc_id")) < min(1.0, SAMPLE / max(n, 1))) & (F.octet_length("text") <= SAMPLE_BYTES)).select("text")
+    sample = docs.where((hash_fraction("doc_id", "text") < min(1.0, SAMPLE / max(n, 1))) & F.col("text").isNotNull()).select(excerpt("text", SAMPLE_CHARS).alias("text")).distinct()
     arrays = [x for x in Encoder(tokenizer_path).encode_all(r[0] for r in sample.orderBy("text").toLocalIterator()) if x]
     if len(arrays) < 16 or sum(map(len, arrays)) < 10 * 1024:
         return b""

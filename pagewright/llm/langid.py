@@ -4,12 +4,15 @@ A known word scores its log frequency in each language. An unseen word is scored
 character n-grams (with word boundaries) of which any is known: first of MAX_N characters, then
 shorter ones. A text scores the mean over its words, and its language is the best one.
 
-Learning: a sample of labelled texts, SAMPLE a language at most in expectation (chosen by a hash of
-doc_id, so any size gives a sample of the same kind), none longer than SAMPLE_CHARS; the model keeps
-MAX_WORDS words and MAX_GRAMS n-grams at most, which bounds what is broadcast.
+Learning: a sample of distinct labelled texts, SAMPLE a language at most in expectation and SAMPLES in all
+(chosen by a hash of doc_id and text, so any size gives a sample of the same kind), of the MAX_LANGS commonest
+values of lang; of a text longer than SAMPLE_CHARS an excerpt of that length. The model keeps MAX_WORDS words and
+MAX_GRAMS n-grams at most, which bounds what is broadcast.
 
 Null texts and texts without a letter are `und` with score 0. With no labelled text at all, every
 text is `und`. Ties go to the first language in alphabetical order. Prediction reads the text alone.
+Each row is judged by itself: repeated rows and rows with a null doc_id get what their text gets and are all
+returned. Columns beside text pass through; one that has the name of a new column is replaced. No rows in, no rows out.
 """
 
 from __future__ import annotations
@@ -24,9 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagewright.llm._common import arrow_batches, hash_fraction, held_out, table
+from pagewright.llm._common import arrow_batches, excerpt, hash_fraction, held_out, table
 
-SAMPLE = 1500
+SAMPLE, SAMPLES, MAX_LANGS = 1500, 60_000, 400
 SAMPLE_CHARS = 20_000
 MAX_N = 5
 MAX_WORDS = 200_000
@@ -49,11 +52,11 @@ def grams(word: str, n: int) -> list[str]:
     return [w[i : i + n] for i in range(len(w) - n + 1)]
 
 
-def _log_frequency(counts: dict[str, np.ndarray], most: int) -> tuple[dict[str, int], np.ndarray]:
+def _log_frequency(counts: dict[str, np.ndarray], most: int, langs: int) -> tuple[dict[str, int], np.ndarray]:
     """Row numbers and rows of smoothed log frequencies by language, for the commonest entries."""
     kept = sorted((k for k in counts if counts[k].sum() >= MIN_COUNT), key=lambda k: (-counts[k].sum(), k))[:most]
-    rows = np.array([counts[k] for k in kept], float).reshape(len(kept), -1)
-    total = sum((v for v in counts.values()), np.zeros(rows.shape[1]))
+    rows = np.array([counts[k] for k in kept], float).reshape(len(kept), langs)
+    total = sum((v for v in counts.values()), np.zeros(langs))
     return {k: i for i, k in enumerate(kept)}, np.log((rows + SMOOTH) / (total + SMOOTH * (len(counts) + 1)))
 
 
@@ -74,8 +77,13 @@ class Model:
                 for size in range(1, MAX_N + 1):
                     for g in grams(w, size):
                         gram_counts[size].setdefault(g, np.zeros(n))[k] += 1
-        self.words, self.word_rows = _log_frequency(word_counts, MAX_WORDS) if n else ({}, np.zeros((0, 0)))
-        self.grams = [_log_frequency(g, MAX_GRAMS // MAX_N) if g else ({}, np.zeros((0, n))) for g in gram_counts]
+        self.letters = frozenset(c for w in word_counts for c in w)
+        self.words, self.word_rows = _log_frequency(word_counts, MAX_WORDS, n) if n else ({}, np.zeros((0, 0)))
+        self.grams = [_log_frequency(g, MAX_GRAMS // MAX_N, n) if g else ({}, np.zeros((0, n))) for g in gram_counts]
+
+    def knows(self, word: str) -> bool:
+        """Whether any letter of the word occurs in what was learned from."""
+        return any(c in self.letters for c in word)
 
     def row(self, word: str) -> np.ndarray:
         """The word's evidence for each language, 0 for the best."""
@@ -123,13 +131,14 @@ class Scorer(dict):
 def train(docs: DataFrame, per_lang: int = SAMPLE) -> Model:
     """A model from docs(doc_id, text, lang): a sample of the labelled texts, see above."""
     labelled = docs.where("lang is not null and text is not null")
-    sizes = labelled.groupBy("lang").count()
-    sizes = {r[0]: r[1] for r in sizes.collect()}  # a row a language
+    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS)
+    sizes = {r[0]: r[1] for r in sizes.collect()}
     if not sizes:
         return Model([])
-    share = F.create_map(*(F.lit(x) for k, n in sorted(sizes.items()) for x in (k, min(1.0, per_lang / n))))
-    sample = labelled.where((hash_fraction(F.col("doc_id")) < share[F.col("lang")]) & (F.length("text") <= SAMPLE_CHARS))
-    return Model((r[0], r[1]) for r in sample.select("lang", "text").toLocalIterator())
+    each = min(per_lang, SAMPLES // len(sizes))
+    share = F.create_map(*(F.lit(x) for k, n in sorted(sizes.items()) for x in (k, min(1.0, each / n))))
+    sample = labelled.where(hash_fraction("doc_id", "text") < share[F.col("lang")]).select("lang", excerpt("text", SAMPLE_CHARS).alias("text")).distinct()
+    return Model((r[0], r[1]) for r in sample.toLocalIterator())
 
 
 def annotate(docs: DataFrame, model: Model, lang: str = "lang_pred", score: str = "lang_score") -> DataFrame:
@@ -137,6 +146,7 @@ def annotate(docs: DataFrame, model: Model, lang: str = "lang_pred", score: str
     spark = docs.sparkSession
     arrow_batches(spark)
     shared = spark.sparkContext.broadcast(model)
+    docs = docs.drop(lang, score)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,9 +160,30 @@ def annotate(docs: DataFrame, model: Model, lang: str = "lang_pred", score: str
     return docs.mapInArrow(run, schema)
 
 
-def reject_unknown(docs: DataFrame, model: Model) -> DataFrame:
-    """docs without those whose language can't be told (null texts, texts without a letter)."""
-    return annotate(docs, model, "__lang", "__score").where(F.col("__lang") != UND).drop("__lang", "__score")
+def reject_unknown(docs: DataFrame, model: Model, targets: Iterable[str] | None = None) -> DataFrame:
+    """docs in one of the target languages (default: all that the model has learned), whole and unchanged.
+
+    Rejected are null texts, texts without a letter, texts whose predicted language is no target, and texts of
+    which the model knows nothing: none of their letters occurs in what it learned from. A model without
+    languages can tell of none: then texts with a letter stay. Rows are judged one by one, as in annotate().
+    """
+    spark = docs.sparkSession
+    arrow_batches(spark)
+    shared, wanted = spark.sparkContext.broadcast(model), None if targets is None else frozenset(targets)
+    at = docs.columns.index("text")
+
+    def stays(scorer: Scorer, text: str | None) -> bool:
+        if not scorer.model.langs:
+            return bool(words(text))
+        lang = scorer.predict(text)[0]
+        return lang != UND and (wanted is None or lang in wanted) and any(map(scorer.model.knows, words(text)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
+        for b in batches:
+            yield b.filter(pa.array([stays(scorer, t) for t in b.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def training_rows(docs: DataFrame) -> DataFrame:

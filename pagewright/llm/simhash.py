@@ -28,6 +28,8 @@ from pagewright.llm.graph import connected_components
 SEED = 42
 SHINGLE = 3
 MAX_BITS = 3
+KEEP, TEXT = "pagewright keep", "pagewright text"
+"""Columns that keep_one adds for its join and takes away."""
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -46,15 +48,20 @@ def fingerprint(text: str | None, chunk: int = 1 << 16) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) for every row; fp is the fingerprint as a signed long."""
+    """(doc_id, fp, text_id) for every row; fp is the fingerprint as a signed long, text_id a hash of the text."""
     arrow_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([fingerprint(t) for t in b.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64)), b.column(2)], ["doc_id", "fp", "text_id"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return keyed(docs).mapInArrow(run, "doc_id long, fp long, text_id long")
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_id"))
 
 
 def _forest(fp: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -118,29 +125,32 @@ def links(distinct: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id) for every row: component_id is the smallest doc_id reachable by links."""
+    """(doc_id, fp, component_id, root, text_id) for every row: component_id is the smallest doc_id reachable by links."""
     return classes(written(fingerprints(docs), "simhash-fp"))
 
 
 def classes(fps: DataFrame, more: DataFrame | None = None) -> DataFrame:
-    """fps(doc_id, fp) -> (doc_id, fp, component_id); more: further edges (u, v) of fingerprints, beside their links."""
+    """fps(doc_id, fp, ...) -> with component_id, and root, one fingerprint of each class; more: further edges (u, v) of
+    fingerprints, beside their links."""
     distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
     edges = links(distinct.select("fp"))
     roots = connected_components(edges.union(more) if more is not None else edges).withColumnRenamed("node", "fp")
     of = written(distinct.join(roots, "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("root")), "simhash-root")
     least = of.groupBy("root").agg(F.min("first").alias("component_id"))
-    return fps.join(of.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return fps.join(of.join(least, "root").select("fp", "component_id", "root"), "fp")
 
 
 def keep_one(docs: DataFrame, near: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
-    """docs with one document of each class: the one whose doc_id is the class id; of rows with one doc_id, one.
+    """docs with one row of each class: one whose doc_id is the class id. Rows with one doc_id and different texts
+    may be in different classes, and then one of each stays; of equal rows, one.
 
     Rows without a doc_id can't be named as the one that stays and are left alone.
     """
-    kept = near(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    keyed = docs.withColumn("__keep", F.col("doc_id").cast("long"))
-    one = keyed.where("__keep is not null").join(kept, "__keep", "left_semi").dropDuplicates(["__keep"])
-    return one.unionByName(keyed.where("__keep is null")).drop("__keep")
+    least = F.min(F.struct("doc_id", "text_id")).alias("least")
+    kept = near(docs).where("doc_id = component_id").groupBy("root").agg(least).select(F.col("least.doc_id").alias(KEEP), F.col("least.text_id").alias(TEXT))
+    own = docs.withColumns({KEEP: F.col("doc_id").cast("long"), TEXT: F.xxhash64(F.col("text").cast("string"))})
+    one = own.where(F.col(KEEP).isNotNull()).join(kept, [KEEP, TEXT], "left_semi").dropDuplicates([KEEP, TEXT])
+    return one.unionByName(own.where(F.col(KEEP).isNull())).drop(KEEP, TEXT)
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:

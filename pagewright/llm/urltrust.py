@@ -2,30 +2,33 @@
 
 A rule (action, "host/path") fits the pages of its host and all subdomains whose path starts with its
 path; the longest rule wins (block before allow among equals). Pages without a rule get the verdict of
-their host. A host's seed weights are the shares of its pages that a rule allows and blocks. Trust is
-personalised PageRank over links between hosts from trusted seeds; links within a host, one a page,
-hold rank on it. Distrust runs back along links from blocked seeds: a host has its own blocked share and,
-for the rest, the damped mean distrust of what it links to (links within it count as clean). So it doesn't
-hang on how many other hosts link to the same place: each host of a farm gets what a farm of one gets.
-A host is blocked if its distrust exceeds its trust by THRESHOLD or more.
+their host. A host's seed weights are the shares of its pages that a rule allows and blocks.
+
+Edges are the absolute links between different hosts, weighted by their number. Trust is personalised
+PageRank along them from trusted seeds: a host passes on the damped part of its rank by weight and takes in what
+comes for its share that isn't blocked. Ranks are in units of a seed (1 / (1 - DAMPING) times the usual ones); what
+hosts without links would return to the seeds is left out, which changes all ranks by one factor. Distrust runs back along them from blocked
+seeds: a host has its own blocked share and, for the rest, the damped mean distrust of what it links to. So it
+doesn't hang on how many other hosts link to the same place: each host of a farm gets what a farm of one gets.
+A host is blocked if its distrust exceeds its trust by THRESHOLD or more. STEPS steps leave 0.85 ** STEPS, half a
+hundredth, of the way to the fixed point at most; a graph that stands still before takes no more of them.
 
 Null urls and urls without "://" have an empty host and path and are judged like one more host. Null
-html has no links. Repeated rows and null page_ids are returned like any other; each counts as a page.
-No pages, no rows.
+html has no links. Repeated rows and null page_ids are returned like any other; each counts as a page. Other
+columns are not read. No pages, no rows.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.llm._common import table, written
 
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
-STEPS, DAMPING, THRESHOLD = 8, 0.85, 0.5
+STEPS, DAMPING, THRESHOLD = 32, 0.85, 0.5
 CUT_EVERY = 4
+STILL = 1e-9
 LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?(?:https?:)?//([^/?#"'\s>]+)"""
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -59,29 +62,32 @@ def judged(pages: DataFrame, rules=RULES) -> DataFrame:
 
 
 def host_edges(pages: DataFrame) -> DataFrame:
-    """(src, dst, n): links between hosts; a page's links within its host count as one."""
+    """(src, dst, n): the links between different hosts."""
     pairs = pages.select(host(F.col("url")).alias("src"), F.transform(F.regexp_extract_all("html", F.lit(LINK), F.lit(1)), lambda x: F.translate(x, UPPER, LOWER)).alias("to"))
-    away = F.filter(F.coalesce("to", F.array().cast("array<string>")), lambda x: x != F.col("src"))
-    linked = pairs.select("src", F.explode(F.concat(F.array("src"), away)).alias("dst"))
-    return linked.groupBy("src", "dst").agg(F.count("*").alias("n"))
+    away = pairs.select("src", F.explode("to").alias("dst")).where("src <> dst")
+    return away.groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, steps: int = STEPS, damping: float = DAMPING) -> DataFrame:
-    """seeds(host, st, sd) -> (host, trust, distrust) after the given number of steps."""
-    out = edges.groupBy("src").agg(F.sum("n").alias("o"))
-    rest = seeds.select(F.col("host").alias("src"), (1 - F.col("sd")).alias("rest"))
-    fw = F.col("n") / F.col("o")
-    bw = F.when(F.col("src") == F.col("dst"), 0.0).otherwise(fw * F.coalesce("rest", F.lit(1.0)))
-    e = written(edges.join(out, "src").join(rest, "src", "left").select("src", "dst", fw.alias("fw"), bw.alias("bw")), "url-edges")
+    """seeds(host, st, sd) -> (host, trust, distrust) after the given number of steps, for every host of seeds or edges."""
+    out = edges.where("src <> dst").groupBy("src").agg(F.sum("n").alias("o"))
+    e = written(edges.where("src <> dst").join(out, "src").select("src", "dst", (F.col("n") / F.col("o")).alias("w")), "url-edges")
+    hosts = seeds.select("host", "st", "sd").union(e.select(F.col("dst").alias("host"), F.lit(0.0), F.lit(0.0))).groupBy("host").agg(F.max("st").alias("st"), F.max("sd").alias("sd"))
+    base = written(hosts, "url-hosts")
     zero = F.lit(0.0)
-    now = seeds.select("host", F.col("st").alias("t"), F.col("sd").alias("d"))
-    own = seeds.select("host", ((1 - damping) * F.col("st")).alias("t"), F.col("sd").alias("d"))
+    # old: the ranks before the last step, for how far it moved
+    now = base.select("host", "st", "sd", F.col("st").alias("t"), F.col("sd").alias("d"), zero.alias("old_t"), zero.alias("old_d"))
     for k in range(steps):
-        ahead = e.join(now, F.col("src") == F.col("host")).select(F.col("dst").alias("host"), (damping * F.col("t") * F.col("fw")).alias("t"), zero.alias("d"))
-        back = e.where("bw > 0").join(now, F.col("dst") == F.col("host")).select(F.col("src").alias("host"), zero.alias("t"), (damping * F.col("d") * F.col("bw")).alias("d"))
-        now = reduce(DataFrame.union, [own, ahead, back]).groupBy("host").agg(F.sum("t").alias("t"), F.sum("d").alias("d"))
+        ahead = e.join(now, F.col("src") == F.col("host")).select(F.col("dst").alias("host"), (F.col("t") * F.col("w")).alias("t"), zero.alias("d"))
+        back = e.join(now, F.col("dst") == F.col("host")).select(F.col("src").alias("host"), zero.alias("t"), (F.col("d") * F.col("w")).alias("d"))
+        got = ahead.union(back).groupBy("host").agg(F.sum("t").alias("in_t"), F.sum("d").alias("in_d"))
+        trust = F.col("st") + damping * (1 - F.col("sd")) * F.coalesce("in_t", zero)
+        distrust = F.col("sd") + damping * (1 - F.col("sd")) * F.coalesce("in_d", zero)
+        now = now.join(got, "host", "left").select("host", "st", "sd", trust.alias("t"), distrust.alias("d"), F.col("t").alias("old_t"), F.col("d").alias("old_d"))
         if k % CUT_EVERY == CUT_EVERY - 1 or k == steps - 1:
             now = written(now, "url-ranks")
+            if (now.agg(F.max(F.greatest(F.abs(F.col("t") - F.col("old_t")), F.abs(F.col("d") - F.col("old_d"))))).first()[0] or 0) < STILL:
+                break
     return now.select("host", F.col("t").alias("trust"), F.col("d").alias("distrust"))
 
 
@@ -91,7 +97,7 @@ def url_verdicts(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) ->
     share = lambda a: F.avg(F.when(F.col("action") == a, 1.0).otherwise(0.0))
     seeds = written(by_rule.groupBy("host").agg(share("allow").alias("st"), share("block").alias("sd")), "url-seeds")
     ranks = propagate(host_edges(pages), seeds)
-    hosts = ranks.select(F.col("host").alias("h"), (F.round(F.col("distrust") - F.col("trust"), 9) >= threshold).alias("bad"))
+    hosts = ranks.select(F.col("host").alias("h"), (F.round(F.col("distrust") - F.col("trust"), 6) >= threshold).alias("bad"))
     judge = F.coalesce("action", F.when(F.coalesce("bad", F.lit(False)), "block").otherwise("allow"))
     return by_rule.join(hosts, F.col("host") == F.col("h"), "left").select("page_id", "host", "path", "rule", judge.alias("verdict"))
 
@@ -109,13 +115,15 @@ def oracle(rules=RULES, steps: int = STEPS, damping: float = DAMPING, threshold:
     sql = f"""with base as (select page_id, html, {low.format("regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1)")} as host, regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) as path from pages),
 by_rule as (select page_id, host, path, {case(0)} as rule, {case(1)} as action from base),
 seeds as (select host, avg(case when action = 'allow' then 1.0::double else 0 end) as st, avg(case when action = 'block' then 1.0::double else 0 end) as sd from by_rule group by host),
-linked as (select host as src, host as dst from base union all select host, {low.format("x")} from (select host, unnest(regexp_extract_all(html, '{LINK.replace("'", "''")}', 1)) as x from base) where {low.format("x")} <> host),
-edges as (select src, dst, count(*)::double as n from linked group by src, dst),
-e as (select src, dst, n / sum(n) over (partition by src) as fw, n / sum(n) over (partition by dst) as bw from edges),
-r0 as (select host, st as t, sd as d from seeds)"""
+linked as (select host as src, {low.format("x")} as dst from (select host, unnest(regexp_extract_all(html, '{LINK.replace("'", "''")}', 1)) as x from base)),
+edges as (select src, dst, count(*)::double as n from linked where src <> dst group by src, dst),
+e as materialized (select src, dst, n / sum(n) over (partition by src) as w from edges),
+hosts as materialized (select host, max(st) as st, max(sd) as sd from (select * from seeds union all select dst, 0, 0 from e) group by host),
+r0 as materialized (select host, st as t, sd as d from hosts)"""
     for k in range(steps):
         sql += f""",
-r{k + 1} as (select host, sum(t) as t, sum(d) as d from (select host, {1 - damping} * st as t, {1 - damping} * sd as d from seeds
-  union all select dst, {damping} * t * fw, 0 from e join r{k} on src = host union all select src, 0, {damping} * d * bw from e join r{k} on dst = host) group by host)"""
+r{k + 1} as materialized (select h.host, st + {damping} * (1 - sd) * coalesce(in_t, 0) as t, sd + {damping} * (1 - sd) * coalesce(in_d, 0) as d
+  from hosts h join r{k} r on h.host = r.host left join (select host, sum(t) as in_t, sum(d) as in_d from (select dst as host, t * w as t, 0 as d from e join r{k} on src = host
+  union all select src, 0, d * w from e join r{k} on dst = host) group by host) g on h.host = g.host)"""
     return sql + f"""
-select page_id, b.host, path, rule, coalesce(action, case when round(d - t, 9) >= {threshold} then 'block' else 'allow' end) as verdict from by_rule b left join r{steps} r on b.host = r.host"""
+select page_id, b.host, path, rule, coalesce(action, case when round(d - t, 6) >= {threshold} then 'block' else 'allow' end) as verdict from by_rule b left join r{steps} r on b.host = r.host"""

@@ -1,13 +1,14 @@
 """Token counts through a digest cache.
 
-The cache is a Parquet table (content, tokenizer, n_tokens) in a folder that all executors share.
+The cache is a Parquet table (content, n_tokens) in a folder that all executors share, with a partition for each tokenizer.
 content is the SHA-256 of the normalised text (null becomes empty; nothing else may change, as every
 byte counts for a byte-level tokenizer), tokenizer the digest of tokenizer file and library version.
 A run takes the digests of all texts, joins them to the stored counts, encodes one text of each
 digest that is missing, appends the new counts, and joins the counts back to the documents. Two runs
 that append the same digest do no harm: the cache is read with one row a digest.
 
-Rows with null doc_id and repeated rows are returned like any other. An empty table gives no rows.
+Rows with null doc_id and repeated rows are returned like any other; other columns are not read. An empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pagewright.llm._common import arrow_batches, shared_dir, table
 from pagewright.llm.pieces import encoder, version
 
 LIMIT = 1024
-CACHE_SCHEMA = "content binary, tokenizer string, n_tokens long"
+CACHE_SCHEMA = "content binary, n_tokens long, tokenizer string"
 
 
 def read_cache(spark: SparkSession, path: str, tokenizer: str) -> DataFrame:
@@ -31,7 +32,9 @@ def read_cache(spark: SparkSession, path: str, tokenizer: str) -> DataFrame:
     if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
         return spark.createDataFrame([], "content binary, n_tokens long")
     rows = spark.read.schema(CACHE_SCHEMA).parquet(path).where(F.col("tokenizer") == tokenizer)
-    return rows.groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
+    # grouped by both columns: a join on content alone then has a shuffle of its own, whose hot keys (a text of many
+    # copies) adaptive execution can split
+    return rows.groupBy("content", "tokenizer").agg(F.max("n_tokens").alias("n_tokens")).select("content", "n_tokens")
 
 
 def fill_cache(docs: DataFrame, tokenizer_path: str, cache: str) -> None:
@@ -47,10 +50,10 @@ def fill_cache(docs: DataFrame, tokenizer_path: str, cache: str) -> None:
         tokens = encoder(tokenizer_path)
         for b in batches:
             n = [len(ids) // 4 for ids in tokens.encode_all(b.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([tokenizer] * len(n), pa.string()), pa.array(n, pa.int64())], ["content", "tokenizer", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array([tokenizer] * len(n), pa.string())], ["content", "n_tokens", "tokenizer"])
         tokens.settle()
 
-    misses.select("content", "text").mapInArrow(run, CACHE_SCHEMA).write.mode("append").parquet(cache)
+    misses.select("content", "text").mapInArrow(run, CACHE_SCHEMA).write.mode("append").partitionBy("tokenizer").parquet(cache)
 
 
 def _digest(text):

@@ -5,8 +5,8 @@ consecutive words of a benchmark item; an item of fewer words (not none) is one
 of a training document probes the set of window hashes, a hit is verified against the window's words,
 and every word inside a verified window is hit.
 
-The hash set is broadcast while its measured size is at most BROADCAST_BYTES and joined by a shuffle
-on the hash beyond it. Null texts have no words. Rows with equal doc_id and text get equal results and
+The hash set is broadcast while its measured size is at most BROADCAST_BYTES. Beyond it places and hashes (no
+words) are joined to it by a shuffle, and what meets is joined to its document again. Null texts have no words. Rows with equal doc_id and text get equal results and
 are all returned; null doc_ids take part. Benchmark rows that repeat count once per item_id; null
 item_ids are named "". An empty benchmark hits nothing; no documents, no rows.
 """
@@ -66,8 +66,11 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
     if _broadcastable(grams):
         rows = probe.join(F.broadcast(grams), verified, "left").where((F.col("pos") == 0) | same).select(out)
     else:
-        hits = probe.where("h is not null").join(grams, verified).where(same).select(out)
-        rows = probe.where("pos = 0").select(*out[:5], F.lit(None).cast("array<string>").alias("items")).union(hits)
+        # only (document, place, hash) is dealt by hash; what meets is brought back to the words and verified there
+        met = probe.where("h is not null").select("doc_id", "dk", "pos", "len", "h").join(grams, verified).select("doc_id", "dk", "pos", "len", "gram", "items").distinct()
+        once = base.dropDuplicates(["doc_id", "dk"]).select(F.col("doc_id").alias("d"), F.col("dk").alias("k"), "n_words", "w")
+        back = met.join(once, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("dk").eqNullSafe(F.col("k")))
+        rows = probe.where("pos = 0").select(*out[:5], F.lit(None).cast("array<string>").alias("items")).union(back.where(same).select(out))
     hit = F.when(F.col("pos") > 0, F.struct("pos", "len"))
     return rows.groupBy("doc_id", "dk").agg(
         F.max("n_words").alias("n_words"), F.sort_array(F.collect_set(hit)).alias("spans"), F.collect_set("items").alias("item_sets"), F.count_if(F.col("pos") == 0).alias("copies")

@@ -6,7 +6,7 @@ budget holds. So the corpus is first dealt by content, and transforms are merged
 1. Each LENGTH-byte window names an anchor, its GRAM-byte substring of smallest hash. Consecutive
    windows with one anchor form a segment. Equal windows have equal anchors at equal offsets. Of equal
    segments within a task only the first goes on, the rest are repeats already.
-2. Segments meet by anchor. Of equal segments the first stays, the rest are repeats. What remains
+2. Segments meet by anchor. Of equal segments (64 bits of anchor and 64 of content) the first stays, the rest are repeats. What remains
    undecided is segments of one anchor with different content that share the bytes next to it.
 3. Only the undecided segments' bytes are dealt out, by anchor. Each shard of them gets its Burrows-
    Wheeler transform, and the shards' transforms are merged by iterative interleave refinement:
@@ -16,7 +16,8 @@ budget holds. So the corpus is first dealt by content, and transforms are merged
 4. Repeats are united by document and cut out of its bytes.
 
 Documents are ordered by doc_id; null doc_ids come first, and rows with equal doc_id follow each other
-by text, so that of a repeated row the first stays. Null texts count as empty. No rows in, no rows out.
+by text, so that of a repeated row the first stays. Null texts count as empty. Other columns are not read. No rows
+in, no rows out.
 Texts longer than CHUNK bytes are cut into chunks of windows, which changes nothing but the segments.
 """
 
@@ -127,29 +128,19 @@ def undecided(seg: np.ndarray) -> np.ndarray:
     return seg[hit]
 
 
-def _low_bytes(x: np.ndarray, n: int) -> np.ndarray:
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n])
-
-
-def _widen(raw: np.ndarray, n: int) -> np.ndarray:
-    out = np.zeros((len(raw), 8), np.uint8)
-    out[:, :n] = raw
-    return out.view("<u8")[:, 0]
-
-
 def pack(seg: np.ndarray) -> bytes:
-    """Records as bytes: columns that follow the document compressed, hashes as they are (anchors 5 bytes, contents 6)."""
+    """Records as bytes: columns that follow the document compressed, hashes as they are."""
     seg = seg[np.lexsort((seg["start"], seg["ord"]))]
     side = lambda x: np.where(x == NONE, 0, x).astype("<u2")
     near = [np.diff(seg["ord"], prepend=0).astype("<i8"), np.diff(seg["start"], prepend=0).astype("<i4"), seg["runs"], seg["off"], np.packbits(seg["left"] == NONE), np.packbits(seg["right"] == NONE)]
-    rest = [side(seg["left"]), side(seg["right"]), _low_bytes(seg["anchor"], 5), _low_bytes(seg["content"], 6)]
+    rest = [side(seg["left"]), side(seg["right"]), seg["anchor"], seg["content"]]
     return np.int64(len(seg)).tobytes() + zstandard.compress(b"".join(c.tobytes() for c in near), 1) + b"".join(c.tobytes() for c in rest)
 
 
 def unpack(blob: bytes) -> np.ndarray:
     n = int(np.frombuffer(blob, "<i8", 1)[0])
     seg = np.zeros(n, SEGMENT)
-    rest = n * (2 + 2 + 5 + 6)
+    rest = n * (2 + 2 + 8 + 8)
     body, raw = zstandard.decompress(blob[8 : len(blob) - rest]), blob[len(blob) - rest :]
     bits = (n + 7) // 8
     seg["ord"] = np.cumsum(np.frombuffer(body, "<i8", n))
@@ -157,8 +148,7 @@ def unpack(blob: bytes) -> np.ndarray:
     seg["runs"], seg["off"] = np.frombuffer(body, "u1", n, 12 * n), np.frombuffer(body, "u1", n, 13 * n)
     none = [np.unpackbits(np.frombuffer(body, "u1", bits, 14 * n + k * bits))[:n].astype(bool) for k in (0, 1)]
     seg["left"], seg["right"] = (np.where(none[k], NONE, np.frombuffer(raw, "<u2", n, 2 * n * k)) for k in (0, 1))
-    seg["anchor"] = _widen(np.frombuffer(raw, "u1", 5 * n, 4 * n).reshape(-1, 5), 5)
-    seg["content"] = _widen(np.frombuffer(raw, "u1", 6 * n, 9 * n).reshape(-1, 6), 6)
+    seg["anchor"], seg["content"] = np.frombuffer(raw, "<u8", n, 4 * n), np.frombuffer(raw, "<u8", n, 12 * n)
     return seg
 
 
@@ -224,8 +214,6 @@ def _cut_up(n: int):
         if not held:
             return
         seg = np.concatenate(held)
-        seg["anchor"] &= np.uint64((1 << 40) - 1)
-        seg["content"] &= np.uint64((1 << 48) - 1)
         seg, repeats = first_of_equal(seg)
         yield from _repeat_rows(repeats, n)
         pid = (seg["anchor"] % np.uint64(n)).astype(np.int64)
@@ -422,8 +410,9 @@ def _ordered(docs: DataFrame) -> DataFrame:
     unclear = rows.groupBy("doc_id").count().where("doc_id is null or count > 1")
     if unclear.isEmpty():
         return rows.select(F.col("doc_id").alias("ord"), "doc_id", "text")
-    numbered = rows.orderBy(F.asc_nulls_first("doc_id"), "text").rdd.zipWithIndex().map(lambda x: (x[1], x[0][0], x[0][1]))
-    return written(docs.sparkSession.createDataFrame(numbered, "ord long, doc_id long, text string"), "dedup-rows")
+    order = (F.asc_nulls_first("doc_id"), F.asc("text"))
+    ranged = rows.repartitionByRange(shuffle_partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
+    return written(ranged.select(F.monotonically_increasing_id().alias("ord"), "doc_id", "text"), "dedup-rows")  # rises from range to range
 
 
 def _squeezed(rows: DataFrame) -> DataFrame:

@@ -27,6 +27,8 @@ PERIOD = 1024
 BLOCK = 16
 POWER = 0.7
 SHARDS = 256
+SHARD_ROWS = 1 << 20
+"""Rows of a source (or of the mix) that are numbered in one task, about; there are SHARDS of them at least."""
 SLOTS = 4
 """Slots of the period for each source on average, at least: with more sources than PERIOD / SLOTS it grows."""
 BROADCAST_SLOTS = 1 << 17
@@ -99,15 +101,18 @@ def interleave(docs: DataFrame, shares: dict | None = None, block: int = BLOCK,
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", "source")
+    counts = {r[0]: r[1] for r in rows.groupBy("source").count().collect()}
     if shares is None:
-        counts = {r[0]: r[1] for r in rows.groupBy("source").count().collect()}
         shares = tempered_shares(counts, power, long_enough(len(counts), period)) if counts else {}
+    digits = 2
+    while max(counts.values(), default=0) > SHARD_ROWS << (4 * digits):
+        digits += 1
     total = sum(shares.values())
     slots = spark.createDataFrame(
         [(s, shares[s], j, slot) for s, j, _, _, slot in schedule(shares)] if shares else [], "s string, c long, j long, at long"
     )  # a row for each slot of the period
     h = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    shard = F.when(F.col("doc_id").isNull(), -1).otherwise(F.conv(F.substring(h, 1, 2), 16, 10).cast("int"))
+    shard = F.when(F.col("doc_id").isNull(), -1).otherwise(F.conv(F.substring(h, 1, digits), 16, 10).cast("int"))
     ranked = _ranked(rows.withColumn("__h", F.when(F.col("doc_id").isNotNull(), h)), ["source"], shard, [F.asc_nulls_first("__h"), F.asc_nulls_first("doc_id")], "rank").drop("__h")
     ranked = ranked.withColumn("block", F.floor(F.col("rank") / block))
     small = F.broadcast if total <= BROADCAST_SLOTS else lambda df: df
@@ -122,7 +127,7 @@ def interleave(docs: DataFrame, shares: dict | None = None, block: int = BLOCK,
     )
     placed = written(placed, "mixing")
     last = placed.agg(F.max("slot")).first()[0] or 0
-    pieces = max(SHARDS, 4 * shuffle_partitions(spark))
+    pieces = max(SHARDS, 4 * shuffle_partitions(spark), sum(counts.values()) // SHARD_ROWS)
     taken = _ranked(placed.where("slot is not null").withColumn("__all", F.lit(0)), ["__all"], F.floor(F.col("slot") * pieces / (last + 1)).cast("int"), ["slot", "__in"], "position")
     rest = placed.where("slot is null").withColumn("position", F.lit(None).cast("long"))
     return taken.drop("__all", "__in").unionByName(rest.drop("__in"))

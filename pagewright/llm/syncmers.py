@@ -11,7 +11,7 @@ The likeness of two fingerprints counts the shared anchors that keep the same or
 2 j / (1 + j), the share of common anchors in two texts of equal length. Two empty fingerprints are
 alike (1), an empty and another are not (0).
 
-Null texts count as empty. Null doc_ids come last in descending order; rows with equal doc_id follow
+Other columns are not read. Null texts count as empty. Null doc_ids come last in descending order; rows with equal doc_id follow
 each other by text, descending. One row alone is its own next document. No rows in, no rows out.
 """
 
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -100,11 +101,17 @@ def with_next(docs: DataFrame) -> tuple[DataFrame, int]:
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_ID)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     cuts = rows.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)] + [1.0], 10_000), F.max("doc_id")).first()
     bounds = sorted({*(cuts[0] or ()), cuts[1]}) if cuts[1] is not None else [0]
-    literal = F.array(*map(F.lit, bounds))
-    pid = F.size(F.filter(literal, lambda b: b < F.col("doc_id")))
+    # looked up in two steps, each over about the root of the number of ranges
+    each = max(1, math.isqrt(len(bounds)))
+    parts = [bounds[i : i + each] for i in range(0, len(bounds), each)]
+    below = lambda bs: F.size(F.filter(bs, lambda b: b < F.col("doc_id")))
+    whole = below(F.array(*(F.lit(p[-1]) for p in parts)))
+    own = F.get(F.array(*(F.array(*map(F.lit, p)) for p in parts)), whole)
+    rows = rows.withColumn("whole", whole).withColumn("own", own)
+    pid = F.col("whole") * each + below(F.col("own"))
     to = F.array(F.struct(pid.alias("pid"), F.lit(False).alias("carry")))
     ahead = F.array(F.struct(F.pmod(pid + 1, F.lit(len(bounds))).alias("pid"), F.lit(True).alias("carry")))
-    routed = rows.withColumn("to", F.when(F.array_contains(literal, F.col("doc_id")), F.concat(to, ahead)).otherwise(to))
+    routed = rows.withColumn("to", F.when(F.array_contains("own", F.col("doc_id")), F.concat(to, ahead)).otherwise(to))
     return routed.select(F.explode("to").alias("to"), "doc_id", "text").select("to.pid", "to.carry", "doc_id", "text"), len(bounds)
 
 

@@ -61,7 +61,7 @@ def centeredness(x0: Column, x1: Column, width: Column) -> Column:
 def page_label(c: Column) -> Column:
     """struct(page, label, code): Arabic labels have a page, Roman ones are lower-cased, others are ambiguous."""
     s = F.trim(c)
-    arabic, roman = s.rlike(r"^\d{1,5}$"), s.rlike(f"^{ROMAN}$")
+    arabic, roman = s.rlike(r"^\d{1,6}$"), s.rlike(f"^{ROMAN}$")
     return F.struct(
         F.when(arabic, s.try_cast("int")).alias("page"),
         F.when(roman, F.lower(s)).otherwise(s).alias("label"),

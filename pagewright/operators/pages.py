@@ -152,20 +152,20 @@ def falling_starts(rows: DataFrame) -> DataFrame:
     return rows.withColumn("previous", F.lag("start").over(in_book())).where("start < previous")
 
 
-def parents_by_level(rows: DataFrame, levels: int = 6) -> DataFrame:
-    """parent_pos: the nearest row above of a smaller level."""
-    above = in_book().rowsBetween(Window.unboundedPreceding, -1)
-    nearest = [F.last(F.when(F.col("level") == k, F.col("pos")), ignorenulls=True).over(above) for k in range(1, levels)]
-    capped = [F.when(F.col("level") > k + 1, n) for k, n in enumerate(nearest)]
-    return rows.withColumn("parent_pos", F.greatest(*capped))
+def parents_by_level(rows: DataFrame, group: str = "book_id") -> DataFrame:
+    """parent_pos: the nearest row above of a smaller level, whatever levels there are."""
+    above = Window.partitionBy(group).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    levels = sorted(r[0] for r in rows.select("level").distinct().collect() if r[0] is not None)  # a row a level
+    near = [F.when(F.col("level") > k, F.last(F.when(F.col("level") == k, F.col("pos")), ignorenulls=True).over(above)) for k in levels[:-1]]
+    return rows.withColumn("parent_pos", F.greatest(*near) if len(near) > 1 else near[0] if near else F.lit(None).cast(rows.schema["pos"].dataType))
 
 
-def matching_with_ancestors(rows: DataFrame, cond: Column, depth: int = 6) -> DataFrame:
-    """rows(book_id, pos, parent_pos) that match or lie above one that does."""
+def matching_with_ancestors(rows: DataFrame, cond: Column) -> DataFrame:
+    """rows(book_id, pos, parent_pos) that match or lie above one that does, at any distance."""
     link = rows.select(F.col("book_id").alias("b"), F.col("pos").alias("p"), "parent_pos").withColumnRenamed("parent_pos", "up")
     now = rows.where(cond).select("book_id", "pos")
     found = now
-    for _ in range(depth - 1):
+    while not now.isEmpty():  # a round a level
         up = now.join(link, (F.col("book_id") == F.col("b")) & (F.col("pos") == F.col("p"))).where("up is not null")
         now = up.select("book_id", F.col("up").alias("pos")).distinct()
         found = found.union(now)

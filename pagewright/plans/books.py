@@ -45,14 +45,14 @@ def toc_line_parse(spark, d):
     return I.lines(spark, d).select("pos", T.toc_line(F.col("line")).alias("t")).where("t is not null").select("pos", "t.title", "t.page")
 
 
-LABEL = "case o_orderkey % 4 when 0 then cast(o_custkey as varchar) when 1 then 'XIV' when 2 then ' vii ' else 'p. ' || o_custkey end"
+LABEL = "case o_orderkey % 4 when 0 then cast(o_custkey * 997 as varchar) when 1 then 'XIV' when 2 then ' vii ' else 'p. ' || o_custkey end"
 
 
-@query("page_label_classify", f"""with l as (select o_orderkey, trim({LABEL}) as s from orders) select o_orderkey, case when regexp_full_match(s, '[0-9]{{1,5}}') then cast(s as int) end as page,
+@query("page_label_classify", f"""with l as (select o_orderkey, trim({LABEL}) as s from orders) select o_orderkey, case when regexp_full_match(s, '[0-9]{{1,6}}') then cast(s as int) end as page,
 case when regexp_full_match(s, '[ivxlcdmIVXLCDM]+') then lower(s) else s end as label,
-case when regexp_full_match(s, '[0-9]{{1,5}}') then null when regexp_full_match(s, '[ivxlcdmIVXLCDM]+') then 'roman_page' else 'ambiguous_page' end as code from l""")
+case when regexp_full_match(s, '[0-9]{{1,6}}') then null when regexp_full_match(s, '[ivxlcdmIVXLCDM]+') then 'roman_page' else 'ambiguous_page' end as code from l""")
 def page_label_classify(spark, d):
-    label = F.expr("case o_orderkey % 4 when 0 then cast(o_custkey as string) when 1 then 'XIV' when 2 then ' vii ' else concat('p. ', o_custkey) end")
+    label = F.expr("case o_orderkey % 4 when 0 then cast(o_custkey * 997 as string) when 1 then 'XIV' when 2 then ' vii ' else concat('p. ', o_custkey) end")
     return I.table(spark, d, "orders").select("o_orderkey", T.page_label(label).alias("p")).select("o_orderkey", "p.page", "p.label", "p.code")
 
 
@@ -146,12 +146,12 @@ def monotonic_check(spark, d):
     return P.falling_starts(_starts(spark, d)).select("book_id", "pos", "start", "previous")
 
 
-LEVELS = "tree as (select p_brand as book_id, p_partkey as pos, p_name as title, 1 + p_size % 4 as level from part)"
+LEVELS = "tree as (select p_brand as book_id, p_partkey as pos, p_name as title, 1 + p_size % 9 as level from part)"
 PARENTS = LEVELS + ", linked as (select a.*, (select max(b.pos) from tree b where b.book_id = a.book_id and b.pos < a.pos and b.level < a.level) as parent_pos from tree a)"
 
 
 def _tree(spark, d):
-    rows = I.table(spark, d, "part").select(F.col("p_brand").alias("book_id"), F.col("p_partkey").alias("pos"), F.col("p_name").alias("title"), (1 + F.col("p_size") % 4).alias("level"))
+    rows = I.table(spark, d, "part").select(F.col("p_brand").alias("book_id"), F.col("p_partkey").alias("pos"), F.col("p_name").alias("title"), (1 + F.col("p_size") % 9).alias("level"))
     return P.parents_by_level(rows)
 
 

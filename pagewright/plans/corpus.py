@@ -15,14 +15,14 @@ from pagewright.plans.books import FILENAME, RESOLVED, entries
 
 DRAFT = """o as (select p_brand as book_id, cast(p_partkey % 23 as int) as sno, case when p_partkey % 17 = 0 then ' ' else p_name end as title, case when p_partkey % 13 = 0 then 'odd' else 'section' end as kind,
 case when p_partkey % 10 <> 9 then p_size - 1 end as printed, p_size as physical, case when p_partkey % 2 = 0 then p_size - 1 end as pdf_index, case when p_partkey % 4 = 1 then 'ix' end as label,
-p_partkey % 3 <> 0 as include, p_partkey % 19 <> 0 as allow_extraction, p_partkey as pos from part where p_size < 48 or p_partkey % 2 = 0),
+p_partkey % 3 <> 0 as include, p_partkey % 19 <> 0 as allow_extraction, p_partkey as pos from part),
 books as (select p_brand as book_id, 45 as page_count from part group by 1)"""
 
 
 def _draft(spark, d):
     k = F.col("p_partkey")
     part = I.table(spark, d, "part")
-    o = part.where((F.col("p_size") < 48) | (k % 2 == 0)).select(
+    o = part.select(
         F.col("p_brand").alias("book_id"), (k % 23).cast("int").alias("sno"), F.when(k % 17 == 0, " ").otherwise(F.col("p_name")).alias("title"), F.when(k % 13 == 0, "odd").otherwise("section").alias("kind"),
         F.when(k % 10 != 9, F.col("p_size") - 1).alias("printed"), F.col("p_size").alias("physical"), F.when(k % 2 == 0, F.col("p_size") - 1).alias("pdf_index"), F.when(k % 4 == 1, "ix").alias("label"),
         (k % 3 != 0).alias("include"), (k % 19 != 0).alias("allow_extraction"), k.alias("pos"),
@@ -93,18 +93,18 @@ def issues_preflight(spark, d):
     return rules.preflight_issues(o, anchors, books, state)
 
 
-MERGE = """draft as (select p_brand as book_id, p_partkey as pos, cast(p_partkey as int) as sno, p_name as title, 'section' as kind, 1 as level, p_size as printed from part where p_partkey % 16 < 4),
-cand as (select p_brand as book_id, p_partkey as pos, case when p_partkey % 4 = 0 then cast(p_partkey - 1 as int) end as sno, case when p_partkey % 5 = 0 then p_name || ' two' else p_name end as title,
-'section' as kind, 1 as level, case when p_partkey % 2 = 0 then p_size else p_size + 100 end as printed, p_partkey % 9 <> 0 as include, p_partkey % 4 = 0 as sno_explicit from part where p_partkey % 16 in (4, 5, 6))"""
+MERGE = """draft as (select p_brand as book_id, p_partkey as pos, cast(p_partkey as int) as sno, p_name as title, 'section' as kind, 1 as level, p_size as printed from part where p_partkey % 16 < 8),
+cand as (select p_brand as book_id, p_partkey as pos, case when p_partkey % 4 = 0 then cast(p_partkey - 8 as int) end as sno, case when p_partkey % 5 = 0 then p_name || ' two' else p_name end as title,
+'section' as kind, 1 as level, case when p_partkey % 2 = 0 then p_size else p_size + 100 end as printed, p_partkey % 9 <> 0 as include, p_partkey % 4 = 0 as sno_explicit from part where p_partkey % 16 >= 8)"""
 
 
-def _merge_inputs(spark, d, whole=True):
-    """Draft and candidates: all of part, or the rows that the SQL of merge_exact takes."""
+def _merge_inputs(spark, d):
+    """Draft and candidates: all of part."""
     k = F.col("p_partkey")
     part = I.table(spark, d, "part").select(F.col("p_brand").alias("book_id"), k.alias("pos"), "p_name", "p_size", "p_partkey")
-    draft = part.where(k % 16 < (8 if whole else 4)).select("book_id", "pos", k.cast("int").alias("sno"), F.col("p_name").alias("title"), F.lit("section").alias("kind"), F.lit(1).alias("level"), F.col("p_size").alias("printed"))
-    cand = part.where(k % 16 >= 8 if whole else (k % 16).isin(4, 5, 6)).select(
-        "book_id", "pos", F.when(k % 4 == 0, (k - (8 if whole else 1)).cast("int")).alias("sno"), F.when(k % 5 == 0, F.concat("p_name", F.lit(" two"))).otherwise(F.col("p_name")).alias("title"), F.lit("section").alias("kind"),
+    draft = part.where(k % 16 < 8).select("book_id", "pos", k.cast("int").alias("sno"), F.col("p_name").alias("title"), F.lit("section").alias("kind"), F.lit(1).alias("level"), F.col("p_size").alias("printed"))
+    cand = part.where(k % 16 >= 8).select(
+        "book_id", "pos", F.when(k % 4 == 0, (k - 8).cast("int")).alias("sno"), F.when(k % 5 == 0, F.concat("p_name", F.lit(" two"))).otherwise(F.col("p_name")).alias("title"), F.lit("section").alias("kind"),
         F.lit(1).alias("level"), F.when(k % 2 == 0, F.col("p_size")).otherwise(F.col("p_size") + 100).alias("printed"), (k % 9 != 0).alias("include"), (k % 4 == 0).alias("sno_explicit"),
     )
     return draft, cand
@@ -117,7 +117,7 @@ case when not include then 'excluded' when t is not null then 'same_title' when
 case when not include then null when t is not null then t when p is not null then p when sno_explicit then s end as draft_sno
 from c left join t using (book_id, key) left join p using (book_id, printed) left join s on s.book_id = c.book_id and s.sno = c.sno""")
 def merge_exact(spark, d):
-    return merge.analyse(*_merge_inputs(spark, d, whole=False), fuzzy=False)
+    return merge.analyse(*_merge_inputs(spark, d), fuzzy=False)
 
 
 @query("merge_fuzzy")

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from pagewright.operators import pages as P
 from pagewright.operators import parse, rules
 
 OUTLINE = "book_id string, sno int, title string, kind string, printed int, label string, physical int, pdf_index int, include boolean, allow_extraction boolean"
@@ -48,7 +49,7 @@ def test_gates(spark):
     rows = spark.createDataFrame([("a", 1, 2), ("a", 3, None), ("b", 1, 2), ("c", None, None)], "book_id string, physical_start int, physical_end int")
     assert {tuple(r) for r in rules.extractable(rows, books.where("book_id <> 'c'")).collect()} == {("a", "unresolved_rows"), ("b", "extract"), ("c", "mapping_not_approved")}
     got = spark.createDataFrame([("uncovered_entry",), ("other",)], "code string").select(rules.suggested_action(F.col("code")).alias("t")).collect()
-    assert [r.t for r in got] == ["Add an anchor near this printed page.", ""]
+    assert [r.t for r in got] == ["Pair a printed page close to this entry.", ""]
 
 
 def test_shape_of_json_rows(spark):
@@ -59,3 +60,31 @@ def test_shape_of_json_rows(spark):
         ("unknown_key", "$[0].colour"), ("invalid_include", "$[0].children[0].include"), ("row_not_object", "$[0].children[1]"), ("row_not_object", "$[1]"), ("invalid_children", "$[2].children"),
         ("invalid_source", "$[2].source"), ("invalid_source", "$[4].source"), ("invalid_include", "$[4].include"),
     }
+
+
+def test_flattening_has_no_bottom(spark):
+    deep = '{"sno": "9", "title": "[leaf \\"]"}'
+    for i in range(8, 0, -1):
+        sno = f'"sno": "{i}", ' if i != 5 else ""
+        deep = f'{{{sno}"children": [{deep}]}}'
+    flat = parse.flatten_json(spark.createDataFrame([("b", f"[{deep}]"), ("c", None), ("d", "[]")], "book_id string, outline string")).collect()
+    assert {r.depth: (r.sno, r.parent_sno) for r in flat} == {i: (None if i == 5 else str(i), None if i == 1 else str(i - 1) if i != 6 else "4") for i in range(1, 10)}
+
+
+def test_outline_text_has_parents_and_codes(spark):
+    text = "Part One\nChapter 1 Start .... 5\n1.1 Start .... 6\n\"A, title\", 123456\n1.1.1 Deep xiv"
+    got = {r.pos: r for r in parse.parse_outlines(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()}
+    byline = {r.title: r for r in got.values()}
+    assert byline["A, title"].page == 123456
+    part = next(r for r in got.values() if r.kind == "part")
+    chapter = next(r for r in got.values() if r.kind == "chapter")
+    assert chapter.parent_pos == part.pos and chapter.level == 2
+    assert any("roman_page" in r.codes for r in got.values())
+
+
+def test_parents_of_any_level(spark):
+    rows = [("b", i, lv) for i, lv in enumerate([1, 2, 3, 4, 5, 6, 7, 8, 9, 12, 7, 20])]
+    df = P.parents_by_level(spark.createDataFrame(rows, "book_id string, pos int, level int"))
+    assert [r.parent_pos for r in df.orderBy("pos").collect()] == [None, 0, 1, 2, 3, 4, 5, 6, 7, 8, 5, 10]
+    hit = P.matching_with_ancestors(df, F.col("pos") == 9)
+    assert sorted(r.pos for r in hit.collect()) == list(range(10))

@@ -72,7 +72,7 @@ def test_flattening_has_no_bottom(spark):
 
 
 def test_outline_text_has_parents_and_codes(spark):
-    text = "Part One\nChapter 1 Start .... 5\n1.1 Start .... 6\n\"A, title\", 123456\n1.1.1 Deep xiv"
+    text = "Part One: Begin\nChapter 1 Start .... 5\n1.1 Start .... 6\n\"A, title\", 123456\n1.1.1 Deep xiv"
     got = {r.pos: r for r in parse.parse_outlines(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()}
     byline = {r.title: r for r in got.values()}
     assert byline["A, title"].page == 123456

@@ -254,11 +254,25 @@ def canonical_hash(spark, d):
     return I.table(spark, d, "orders").select("o_orderkey", F.sha2(F.to_json(doc, {"ignoreNullFields": "false"}).cast("binary"), 256).alias("h"))
 
 
-@query("compound_terms")
+ADJECTIVES = ("the", "and", "that")
+PHRASES = rf"""{PARAGRAPHS}, numbered as (select *, row_number() over () as unit, regexp_extract_all(lower(text), '[a-z0-9_]{{2,}}') as w from kept),
+grams as (select chapter, unit, unnest(list_transform(range(1, len(w)), lambda i: w[i:i + 1])) as g from numbered where len(w) >= 2 union all select chapter, unit, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i:i + 2])) from numbered where len(w) >= 3),
+p as (select chapter, unit, array_to_string(g, ' ') as term from grams where g[-1] not in ('the', 'and', 'that') and len(list_filter(g, lambda x: length(x) < 4)) = 0)"""
+
+
+@query("compound_terms", f"with {PHRASES}, c as (select chapter, term, count(*) as n from p group by 1, 2) select * from c qualify n >= 2 or max(n) over (partition by chapter) < 2")
 def compound_terms(spark, d):
-    paras = _paragraphs(spark, d)
-    adjectives = spark.createDataFrame([("the",), ("and",), ("that",)], "word string")
-    return A.compound_terms(paras, adjectives)
+    return A.compound_terms(_paragraphs(spark, d), ADJECTIVES)
+
+
+@query("compound_tfidf", f"""with {PHRASES}, tf as (select chapter, unit, term, count(*) as tf from p group by all), n as (select chapter, count(*) as n from numbered group by 1), v as (select term from p group by 1 having count(*) >= 2),
+df as (select chapter, term, count(*) as df from tf where term in (select term from v) or not exists (select * from v) group by 1, 2),
+w as (select tf.chapter, unit, tf.term, tf * (ln((1.0::double + n) / (1.0::double + df)) + 1) as w, n from tf join df using (chapter, term) join n on n.chapter = tf.chapter),
+norm as (select chapter, unit, sqrt(sum(w * w)) as norm from w group by 1, 2), m as (select w.chapter, term, round(sum(w / norm) / max(n), 9) as score from w join norm using (chapter, unit) group by 1, 2)
+select chapter, term, round(score, 6) as score, cast(row_number() over (partition by chapter order by score desc, term) as int) as place from m qualify place <= 25""")
+def compound_tfidf(spark, d):
+    paras = _paragraphs(spark, d).withColumn("unit", F.struct("doc_id", "para_id"))
+    return A.compound_tfidf(paras, ADJECTIVES).withColumn("score", F.round("score", 6))
 
 
 @query("topics")

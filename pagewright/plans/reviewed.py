@@ -24,7 +24,7 @@ def provenance_events(spark, d):
     return got.select("book_id", "recorded_at", "mode", F.size("candidates").cast("long").alias("n"), F.md5(text.cast("binary")).alias("digest"))
 
 
-LIBRARY = "library as (select 'book-' || c_custkey as book_id, c_name as filename, md5(c_name) as source_hash, c_nationkey as size_bytes, c_custkey % 5 = 0 as hidden from customer where c_custkey % 3 <> 0), files as (select 'copy of ' || c_name as name, 'book-' || c_custkey as book_id, md5(c_name) as source_hash, c_nationkey as size_bytes from customer where c_custkey % 4 <> 1 union all select c_name, 'book-' || c_custkey, md5(c_name), c_nationkey from customer where c_custkey % 7 = 0)"
+LIBRARY = "library as (select 'book-' || c_custkey as book_id, c_name as filename, md5(c_name) as source_hash, c_nationkey as size_bytes, c_custkey % 5 = 0 as hidden from customer where c_custkey % 3 <> 0), files as (select 'copy of ' || c_name as name, 'book-' || c_custkey as book_id, md5(c_name) as source_hash, c_nationkey as size_bytes from customer where c_custkey % 4 <> 1 or c_custkey % 3 = 0 union all select c_name, 'book-' || c_custkey, md5(c_name), c_nationkey from customer where c_custkey % 7 = 0)"
 
 
 def _library(spark, d):
@@ -33,7 +33,7 @@ def _library(spark, d):
     book = F.concat(F.lit("book-"), key.cast("string"))
     library = c.where(key % 3 != 0).select(book.alias("book_id"), F.col("c_name").alias("filename"), h.alias("source_hash"), F.col("c_nationkey").alias("size_bytes"), (key % 5 == 0).alias("hidden"))
     file = lambda df, name: df.select(name.alias("name"), book.alias("book_id"), h.alias("source_hash"), F.col("c_nationkey").alias("size_bytes"))
-    return library, file(c.where(key % 4 != 1), F.concat(F.lit("copy of "), "c_name")).union(file(c.where(key % 7 == 0), F.col("c_name")))
+    return library, file(c.where((key % 4 != 1) | (key % 3 == 0)), F.concat(F.lit("copy of "), "c_name")).union(file(c.where(key % 7 == 0), F.col("c_name")))
 
 
 @query("library_add", f"""with {LIBRARY}, f as (select book_id, min(name) as name, min(source_hash) as source_hash, min(size_bytes) as size_bytes from files group by 1)

@@ -161,6 +161,27 @@ def test_text_repair(spark):
     assert A.dehyphenate(pd.Series(["an exam- ple of long- term pol­icy", None])).tolist()[0] == "an example of long-term policy"
     df = spark.createDataFrame([(1, "aa bb cccccccccc dd")], "k int, t string")
     assert [r.chunk for r in A.wrapped(df, "t", 5).orderBy("chunk_no").collect()] == ["aa bb", "cccccccccc", "dd"]
+    text = "One two.  Three four!\n\n \nAn exam-\nple of it. Last words here go on.\n\n"
+    df = spark.createDataFrame([(1, text), (2, None), (3, " \n ")], "k int, t string")
+    got = lambda **how: [(r.k, r.chunk_no, r.chunk) for r in A.wrapped(df, "t", **how).orderBy("k", "chunk_no").collect()]
+    assert got(width=16) == [(1, 0, "One two."), (1, 1, "Three four!"), (1, 2, "An example of"), (1, 3, "it."), (1, 4, "Last words here"), (1, 5, "go on.")]
+    assert got(oneline=True) == [(1, 0, "One two. Three four!"), (1, 1, "An example of it. Last words here go on.")]
+    assert got(oneline=True, join_split_words=False)[1] == (1, 1, "An exam- ple of it. Last words here go on.")
+
+
+def test_weights_by_hand(spark):
+    import math
+
+    rows = [("g", 1, ["a", "b", "a"]), ("g", 2, ["a", "c"]), ("g", 3, []), ("h", 4, ["c"]), ("h", 5, None)]
+    df = spark.createDataFrame(rows, "g string, u int, t array<string>")
+    assert sorted(map(tuple, A.counted(df, "g", "u", F.col("t")).collect())) == [("g", 1, "a", 2), ("g", 1, "b", 1), ("g", 2, "a", 1), ("g", 2, "c", 1), ("h", 4, "c", 1)]
+    idf = lambda n, k: math.log((1 + n) / (1 + k)) + 1
+    a, b, c = idf(3, 2), idf(3, 1), idf(3, 1)
+    one, two = math.hypot(2 * a, b), math.hypot(a, c)
+    want = {("g", "a"): (2 * a / one + a / two) / 3, ("g", "b"): b / one / 3, ("g", "c"): c / two / 3, ("h", "c"): 0.5}
+    got = {(r.g, r.term): r.score for r in A.weighted_top(df, "g", "u", F.col("t"), min_df=1).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-8 for k in want)
+    assert {r.term for r in A.weighted_top(df, "g", "u", F.col("t"), min_df=1, vocabulary=spark.createDataFrame([("c",)], "term string")).collect()} == {"c"}
 
 
 def test_sources(spark, tmp_path):

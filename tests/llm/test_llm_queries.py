@@ -16,8 +16,9 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 def test_query(spark, name):
     df = queries.QUERIES[name](spark, SF)
     rows = df.collect()
-    table = "pages" if name.startswith("op5_") else "documents"
-    assert len(rows) == spark.read.parquet(f"{SF}/{table}.parquet").count()
+    if name.split("_")[0] not in ("op11", "op13"):
+        table = "pages" if name.startswith("op5_") else "documents"
+        assert len(rows) == spark.read.parquet(f"{SF}/{table}.parquet").count()
     if name in queries.ORACLE_SQL:
         con = duckdb.connect()
         for f in os.listdir(SF):

@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+BLOCK = 1 << 16
+"""Printed pages of a book that are looked up in one task."""
+
 
 def conflicts(anchors: DataFrame) -> DataFrame:
     """Printed pages that anchors put at different physical pages."""
@@ -31,20 +34,36 @@ def segments(anchors: DataFrame) -> DataFrame:
     return out.select("book_id", "segment", "printed_start", "printed_end", "offset", "anchors", (F.col("anchors") >= 2).alias("confirmed"))
 
 
+def covering(pages: DataFrame, sure: DataFrame) -> DataFrame:
+    """pages(book_id, printed), distinct, with inside: the offset of the segment that covers the page, or null.
+
+    An as-of join: segments don't overlap, so the last that starts at a page or before it is the only one that can cover it. Pages and starts stand in one
+    order within blocks of BLOCK pages; a segment starts anew in each block that it reaches, so no task holds a book.
+    """
+    reach = F.explode(F.sequence(F.floor(F.col("printed_start") / BLOCK), F.floor(F.col("printed_end") / BLOCK)))
+    starts = sure.select("book_id", reach.alias("block"), F.col("printed_start").alias("from"), F.col("printed_end").alias("to"), "offset")
+    starts = starts.select("book_id", "block", F.greatest(F.col("from"), F.col("block") * BLOCK).cast("long").alias("at"), F.struct("to", "offset").alias("segment"), F.lit(None).cast("int").alias("printed"))
+    asked = pages.select("book_id", F.floor(F.col("printed") / BLOCK).alias("block"), F.col("printed").cast("long").alias("at"), F.lit(None).cast(starts.schema["segment"].dataType).alias("segment"), "printed")
+    so_far = Window.partitionBy("book_id", "block").orderBy("at", F.col("printed").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = starts.unionByName(asked).withColumn("last", F.last("segment", ignorenulls=True).over(so_far)).where("printed is not null")
+    return both.select("book_id", "printed", F.when(F.col("printed") <= F.col("last.to"), F.col("last.offset")).alias("inside"))
+
+
 def resolve(entries: DataFrame, anchors: DataFrame) -> DataFrame:
     """entries(book_id, printed, ...) with physical and method.
 
     In this order: an exception for the page; conflicting anchors leave it unresolved; its anchor; the
     confirmed segment that covers it; the only confirmed segment of the book, extended; unresolved.
     """
+    pages = entries.where("printed is not null").select("book_id", "printed").distinct()
     exact = anchors.where("exception").groupBy("book_id", "printed").agg(F.max("physical").alias("x"))
     seen = anchors.where("not exception").groupBy("book_id", "printed").agg(F.min("physical").alias("lo"), F.max("physical").alias("hi"))
     sure = segments(anchors).where("confirmed")
     only = sure.groupBy("book_id").agg(F.count("*").alias("n"), F.max("offset").alias("one"))
-    # a book's segments as one sorted array: covering ones are found without a row for each pair
-    cover = sure.groupBy("book_id").agg(F.sort_array(F.collect_list(F.struct("printed_start", "printed_end", "offset"))).alias("sure"))
-    out = entries.join(exact, ["book_id", "printed"], "left").join(seen, ["book_id", "printed"], "left").join(only, "book_id", "left").join(cover, "book_id", "left")
-    inside = F.get(F.filter("sure", lambda s: F.col("printed").between(s["printed_start"], s["printed_end"])), F.lit(0))["offset"]
+    known = covering(pages, sure).join(exact, ["book_id", "printed"], "left").join(seen, ["book_id", "printed"], "left")
+    known = known.select(F.col("book_id").alias("__b"), F.col("printed").alias("__p"), "inside", "x", "lo", "hi")
+    out = entries.join(known, (F.col("book_id") == F.col("__b")) & (F.col("printed") == F.col("__p")), "left").join(only, "book_id", "left")
+    inside = F.col("inside")
     p = F.col("printed")
     none = F.lit(None).cast("int")
     rules = [
@@ -59,7 +78,7 @@ def resolve(entries: DataFrame, anchors: DataFrame) -> DataFrame:
     for cond, page, how in rules[1:]:
         physical, method = physical.when(cond, page), method.when(cond, how)
     out = out.withColumn("physical", physical.otherwise(none).cast("int")).withColumn("method", method.otherwise("unresolved"))
-    return out.drop("x", "lo", "hi", "n", "one", "sure")
+    return out.drop("x", "lo", "hi", "n", "one", "inside", "__b", "__p")
 
 
 def resolve_entries(entries: DataFrame, anchors: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import difflib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.functions import text as T
@@ -16,7 +16,7 @@ NEAR = 0.9
 
 def _first(draft: DataFrame, key: str) -> DataFrame:
     """The first draft row of each key."""
-    return draft.where(F.col(key).isNotNull()).groupBy("book_id", key).agg(F.min_by(F.struct("pos", "sno", "title", "kind", "level", "printed"), "pos").alias("d"))
+    return draft.where(F.col(key).isNotNull()).groupBy("book_id", key).agg(F.min_by(F.struct("pos", "sno", "title", "kind", "level", "printed", *(["label"] if "label" in draft.columns else [])), "pos").alias("d"))
 
 
 def near_titles(candidates: DataFrame, draft: DataFrame, least: float = NEAR) -> DataFrame:
@@ -52,10 +52,11 @@ def near_titles(candidates: DataFrame, draft: DataFrame, least: float = NEAR) ->
 def analyse(draft: DataFrame, candidates: DataFrame, fuzzy: bool = True) -> DataFrame:
     """A category for each candidate: ignored, match, conflict or new, with the draft row and the reason.
 
-    Both: (book_id, pos, sno, title, kind, level, printed), candidates also include and sno_explicit.
-    The first rule that applies decides: excluded, same title, same printed page, near title, same
-    explicit sno.
+    Both: (book_id, pos, sno, title, kind, level, printed), candidates also include and sno_explicit, and both may have label, the printed page's
+    label. The first rule that applies decides: excluded, same title, same printed page, near title, same
+    explicit sno. Rows of the same title match if they agree in kind, level and page; where neither has a page, in its label.
     """
+    draft, candidates = (df if "label" in df.columns else df.withColumn("label", F.lit(None).cast("string")) for df in (draft, candidates))
     draft = draft.withColumn("key", T.merge_key(F.col("title")))
     c = candidates.withColumn("key", T.merge_key(F.col("title")))
     by_title = _first(draft, "key").withColumnRenamed("d", "t")
@@ -67,7 +68,9 @@ def analyse(draft: DataFrame, candidates: DataFrame, fuzzy: bool = True) -> Data
         out = out.join(near, ["book_id", "pos"], "left")
     else:
         out = out.withColumn("f", F.lit(None).cast(by_title.schema["t"].dataType))
-    same = (F.col("t.printed").eqNullSafe(F.col("printed"))) & (F.col("t.kind") == F.col("kind")) & (F.col("t.level") == F.col("level"))
+    said = lambda c: T.casefold(F.coalesce(F.col(c), F.lit("")))
+    paged = F.when(F.col("t.printed").isNull() & F.col("printed").isNull(), said("t.label") == said("label")).otherwise(F.col("t.printed").eqNullSafe(F.col("printed")))
+    same = paged & (F.col("t.kind") == F.col("kind")) & (F.col("t.level") == F.col("level"))
     rules = [
         (~F.col("include"), "ignored", "excluded", None),
         (F.col("t").isNotNull() & same, "match", "same_title", "t"),
@@ -88,24 +91,44 @@ def analyse(draft: DataFrame, candidates: DataFrame, fuzzy: bool = True) -> Data
     return out.select("book_id", "pos", "sno", "title", "kind", "level", "printed", case(1, F.lit("new")).alias("category"), case(2, F.lit("new")).alias("reason"), case(3, F.lit(None)).cast("int").alias("draft_sno"))
 
 
+def _numbers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows in order of book and turn, the draft's first -> (book_id, pos, new_sno) of the others. Only the running book's numbers are held."""
+    book, taken, free = None, set(), 1
+    for b in batches:
+        out = []
+        for book_id, turn, pos, sno in b[["book_id", "turn", "pos", "sno"]].itertuples(index=False):
+            if book_id != book:
+                book, taken, free = book_id, set(), 1
+            own = None if pd.isna(sno) else int(sno)
+            if turn >= 0:
+                own = free if not own or own in taken else own
+                out.append((book_id, pos, own))
+            if own is not None:
+                taken.add(own)
+                free = max(free, own + 1)
+        yield pd.DataFrame(out, columns=["book_id", "pos", "new_sno"]).astype({"new_sno": "Int32"})
+
+
 def apply(draft: DataFrame, analysis: DataFrame, resolutions: DataFrame | None = None) -> DataFrame:
-    """The draft after the merge. resolutions(book_id, pos, action): use_candidate replaces and keeps the draft's
-    sno, keep_both appends, anything else keeps the draft. Appended rows (new ones first) keep a free sno of
-    their own, and else continue after the largest."""
+    """The draft after the merge. resolutions(book_id, pos, action): use_candidate replaces the first draft row of that number and
+    keeps the number, keep_both appends, anything else keeps the draft.
+
+    Rows are appended one after the other, new ones first: each keeps its own number if no row has it yet, and else takes the one after the
+    largest so far.
+    """
     if resolutions is None:
         a = analysis.withColumn("action", F.lit("keep_draft"))
     else:
         a = analysis.join(resolutions, ["book_id", "pos"], "left").withColumn("action", F.coalesce("action", F.lit("keep_draft")))
     swap = a.where("category = 'conflict' and action = 'use_candidate'").groupBy("book_id", F.col("draft_sno").alias("sno")).agg(F.max_by(F.struct("title", "kind", "level", "printed"), "pos").alias("n"))
-    body = draft.join(swap, ["book_id", "sno"], "left")
+    first = draft.groupBy("book_id", "sno").agg(F.min("pos").alias("pos")).join(swap, ["book_id", "sno"]).drop("sno")
+    body = draft.join(first, ["book_id", "pos"], "left")
     old = body.select("book_id", "sno", *(F.when(F.col("n").isNotNull(), F.col(f"n.{c}")).otherwise(F.col(c)).alias(c) for c in ("title", "kind", "level", "printed")))
     more = a.where("category = 'new' or (category = 'conflict' and action = 'keep_both')").withColumn("turn", F.when(F.col("category") == "new", 0).otherwise(1))
-    most = draft.groupBy("book_id").agg(F.max("sno").alias("most"), F.collect_set("sno").alias("taken"))
-    more = more.join(most, "book_id", "left")
-    order = Window.partitionBy("book_id").orderBy("turn", "pos")
-    dup = F.row_number().over(Window.partitionBy("book_id", "sno").orderBy("turn", "pos")) > 1
-    clash = F.col("sno").isNull() | F.coalesce(F.array_contains("taken", F.col("sno")), F.lit(False)) | dup
-    more = more.withColumn("clash", clash)
-    top = F.greatest(F.coalesce("most", F.lit(0)), F.coalesce(F.max(F.when(~F.col("clash"), F.col("sno"))).over(Window.partitionBy("book_id")), F.lit(0)))
-    more = more.withColumn("new_sno", F.when(~F.col("clash"), F.col("sno")).otherwise(top + F.sum(F.col("clash").cast("int")).over(order)))
-    return old.unionByName(more.select("book_id", F.col("new_sno").cast("int").alias("sno"), "title", "kind", "level", "printed"))
+    books = more.select("book_id").distinct()
+    line = more.select("book_id", "turn", F.col("pos").cast("long").alias("pos"), F.col("sno").cast("int").alias("sno"))
+    line = line.unionByName(draft.join(books, "book_id", "left_semi").select("book_id", F.lit(-1).alias("turn"), F.lit(0).cast("long").alias("pos"), F.col("sno").cast("int").alias("sno")))
+    kind = draft.schema["book_id"].dataType.simpleString()
+    numbers = line.repartition("book_id").sortWithinPartitions("book_id", "turn", "pos").mapInPandas(_numbers, f"book_id {kind}, pos long, new_sno int")
+    new = more.drop("sno").join(numbers, ["book_id", "pos"]).select("book_id", F.col("new_sno").alias("sno"), "title", "kind", "level", "printed")
+    return old.unionByName(new)

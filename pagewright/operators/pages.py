@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions import text as T
+from pagewright.sources.shared import discard, written
 
 SHARDS = 64
 BLOCK = 1 << 16
 """Pages that one task looks through for the next start."""
+NEST = 256
+"""Rows of a block, and blocks of a run, in which the nearest smaller value is looked up."""
 
 
 def numbered(df: DataFrame, group: str, order: str, name: str, total: str | None = None) -> DataFrame:
@@ -48,9 +51,10 @@ def ranges_to_next_row(rows: DataFrame, last: str = "max_page") -> DataFrame:
 
 def ranges_to_next_start(rows: DataFrame, last: str = "max_page") -> DataFrame:
     """Each row ends a page before the first following row with a larger start; rows in any order of start."""
-    after = F.collect_list("start").over(in_book().rowsBetween(1, Window.unboundedFollowing))
-    larger = F.get(F.filter(after, lambda x: x > F.col("start")), F.lit(0))
-    return rows.withColumn("end", F.when(larger.isNull(), F.col(last)).otherwise(larger - 1))
+    after = nearest_smaller(rows.select("book_id", (-F.col("pos")).alias("at"), (-F.col("start")).alias("value")), "book_id")
+    after = after.select(F.col("book_id").alias("__g"), (-F.col("at")).alias("__p"), (-F.col("near.value")).alias("__larger"))
+    joined = rows.join(after, F.col("book_id").eqNullSafe(F.col("__g")) & (F.col("pos") == F.col("__p")), "left")
+    return joined.withColumn("end", F.when(F.col("__larger").isNull(), F.col(last)).otherwise(F.col("__larger") - 1)).drop("__g", "__p", "__larger")
 
 
 def ranges_of_sorted(rows: DataFrame, last: str = "max_page") -> DataFrame:
@@ -152,24 +156,57 @@ def falling_starts(rows: DataFrame) -> DataFrame:
     return rows.withColumn("previous", F.lag("start").over(in_book())).where("start < previous")
 
 
+def nearest_smaller(rows: DataFrame, group: str) -> DataFrame:
+    """rows(group, at, value) -> (group, at, near): the last row before it, in order of at, with a smaller value.
+
+    Rows are taken in blocks of NEST places and NEST blocks at a time. A block, or a run of blocks, shows those that follow only the rows
+    below which nothing smaller comes after (its visible rows, by rising value); a row looks for its own first within its block, then among
+    what the blocks before it show. Any number of values, no task holds a group, and steps grow with the rows.
+    """
+    kind = f"array<struct<at:{rows.schema['at'].dataType.simpleString()},value:{rows.schema['value'].dataType.simpleString()}>>"
+    none = f"cast(array() as {kind})"
+    over = lambda below, top: f"concat(filter({below}, z -> z.value < {top}[0].value), {top})"  # noqa: E731 - what is visible once top follows
+    fold = lambda runs: f"aggregate({runs}, {none}, (s, x) -> {over('s', 'x.seen')})"
+    found = rows.where("at is not null and value is not null").withColumn("b", F.floor(F.col("at") / NEST))
+    blocks = found.groupBy(group, "b").agg(F.sort_array(F.collect_list(F.struct("at", "value"))).cast(kind).alias("own"))
+    blocks = blocks.withColumn("seen", F.expr(f"aggregate(own, {none}, (s, x) -> {over('s', 'array(x)')})"))
+    runs = blocks.groupBy(group, F.floor(F.col("b") / NEST).alias("r")).agg(F.sort_array(F.collect_list(F.struct("b", "own", "seen"))).alias("blocks"))
+    whole = runs.select(group, "r", F.expr(fold("blocks")).alias("seen")).groupBy(group).agg(F.sort_array(F.collect_list(F.struct("r", "seen"))).alias("runs"))
+    before = whole.select(F.col(group).alias("__g"), F.expr(f"inline(transform(runs, (x, i) -> named_struct('__r', x.r, 'before', {fold('slice(runs, 1, i)')})))"))
+    placed = runs.join(before, F.col(group).eqNullSafe(F.col("__g")) & (F.col("r") == F.col("__r")))
+    placed = placed.select(group, F.expr(f"inline(transform(blocks, (x, i) -> named_struct('own', x.own, 'before', aggregate(slice(blocks, 1, i), before, (s, y) -> {over('s', 'y.seen')}))))"))
+    last = "coalesce(try_element_at(filter(own, y -> y.at < x.at and y.value < x.value), -1), try_element_at(filter(before, y -> y.value < x.value), -1))"
+    return placed.select(group, F.expr(f"inline(transform(own, x -> named_struct('at', x.at, 'near', {last})))"))
+
+
 def parents_by_level(rows: DataFrame, group: str = "book_id") -> DataFrame:
     """parent_pos: the nearest row above of a smaller level, whatever levels there are."""
-    above = Window.partitionBy(group).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    levels = sorted(r[0] for r in rows.select("level").distinct().collect() if r[0] is not None)  # a row a level
-    near = [F.when(F.col("level") > k, F.last(F.when(F.col("level") == k, F.col("pos")), ignorenulls=True).over(above)) for k in levels[:-1]]
-    return rows.withColumn("parent_pos", F.greatest(*near) if len(near) > 1 else near[0] if near else F.lit(None).cast(rows.schema["pos"].dataType))
+    near = nearest_smaller(rows.select(group, F.col("pos").alias("at"), F.col("level").alias("value")), group)
+    near = near.select(F.col(group).alias("__g"), F.col("at").alias("__p"), F.col("near.at").alias("parent_pos"))
+    return rows.join(near, F.col(group).eqNullSafe(F.col("__g")) & (F.col("pos") == F.col("__p")), "left").drop("__g", "__p")
 
 
 def matching_with_ancestors(rows: DataFrame, cond: Column) -> DataFrame:
-    """rows(book_id, pos, parent_pos) that match or lie above one that does, at any distance."""
-    link = rows.select(F.col("book_id").alias("b"), F.col("pos").alias("p"), "parent_pos").withColumnRenamed("parent_pos", "up")
-    now = rows.where(cond).select("book_id", "pos")
-    found = now
-    while not now.isEmpty():  # a round a level
-        up = now.join(link, (F.col("book_id") == F.col("b")) & (F.col("pos") == F.col("p"))).where("up is not null")
-        now = up.select("book_id", F.col("up").alias("pos")).distinct()
-        found = found.union(now)
-    return rows.join(found.distinct(), ["book_id", "pos"], "left_semi")
+    """rows(book_id, pos, parent_pos) that match or lie above one that does, at any distance.
+
+    By pointer doubling: after k rounds what lies less than 2^k above is found, and pointers reach 2^k up. It ends when
+    no pointer is left, or after as many rounds as the number of rows has bits, so a circle of parents ends too.
+    """
+    up = written(rows.where("parent_pos is not null").select("book_id", "pos", F.col("parent_pos").alias("up")), "above")
+    found = written(rows.where(cond).select("book_id", "pos").distinct(), "found")
+    for _ in range(up.count().bit_length()):
+        if up.isEmpty():
+            break
+        on = up.select(F.col("book_id").alias("b"), F.col("pos").alias("p"), F.col("up").alias("to"))
+        reached = found.join(on, F.col("book_id").eqNullSafe(F.col("b")) & (F.col("pos") == F.col("p"))).select("book_id", F.col("to").alias("pos"))
+        more = written(found.union(reached).distinct(), "found")
+        twice = up.join(on, up["book_id"].eqNullSafe(on["b"]) & (up["up"] == on["p"])).select(up["book_id"], up["pos"], on["to"].alias("up"))
+        twice = written(twice, "above")
+        discard(up, found)
+        up, found = twice, more
+    discard(up)
+    of = found.select(F.col("book_id").alias("__b"), F.col("pos").alias("__p"))
+    return rows.join(of, F.col("book_id").eqNullSafe(F.col("__b")) & (F.col("pos") == F.col("__p")), "left_semi")
 
 
 def text_status(pages: DataFrame, sample: int = 3, least: int = 80) -> DataFrame:

@@ -127,8 +127,11 @@ def merge_fuzzy(spark, d):
 
 @query("merge_apply")
 def merge_apply(spark, d):
+    """Of the conflicts a third each is replaced, kept beside the draft and left."""
     draft, cand = _merge_inputs(spark, d)
-    return merge.apply(draft, merge.analyse(draft, cand))
+    found = merge.analyse(draft, cand)
+    action = F.when(F.col("pos") % 3 == 0, "use_candidate").when(F.col("pos") % 3 == 1, "keep_both").otherwise("keep_draft")
+    return merge.apply(draft, found, found.where("category = 'conflict'").select("book_id", "pos", action.alias("action")))
 
 
 FILES = "files as (select doc_id as name, sha256(text) as source_hash, 'book-' || left(sha256(text), 16) as book_id, cast(strlen(text) as int) as size_bytes from documents where text is not null)"
@@ -275,15 +278,45 @@ def compound_tfidf(spark, d):
     return A.compound_tfidf(paras, ADJECTIVES).withColumn("score", F.round("score", 6))
 
 
+def _units(spark, d):
+    return _paragraphs(spark, d).withColumn("unit", F.struct("doc_id", "para_id"))
+
+
 @query("topics")
 def topics(spark, d):
-    return A.topics(_words(spark, d), "w")
+    return A.chapter_topics(_units(spark, d), ADJECTIVES)
+
+
+@query("compound_summary")
+def compound_summary(spark, d):
+    """Titles, the first phrases and the topics of each chapter."""
+    units = _units(spark, d)
+    chapters = I.table(spark, d, "documents").select(F.col("source").alias("chapter")).distinct().withColumn("title", F.concat(F.lit("On "), "chapter"))
+    return A.compound_summaries(chapters, A.compound_tfidf(units, ADJECTIVES), A.chapter_topics(units, ADJECTIVES))
+
+
+# Each run of seven letters is split, so that most splits stand in words that the documents hold whole somewhere.
+SPLITS = ("([a-z]{4})([a-z]{3})", "- ")
+KEPT = ", ".join(f"'{x}'" for x in A.KEEP_HYPHENS)
+
+
+@query("word_scores", """with w as (select unnest(regexp_extract_all(lower(text), '[a-z]+')) as word from documents) select word, count(*) as n, round(log10(count(*) * 1e9 / (select count(*) from w)), 9) as zipf from w group by 1""")
+def word_scores(spark, d):
+    return A.word_scores(I.table(spark, d, "documents")).withColumn("zipf", F.round("zipf", 9))
 
 
-@query("dehyphenate")
+@query("dehyphenate", rf"""with words as (select unnest(regexp_extract_all(lower(text), '[a-z]+')) as word from documents), v as (select word from words group by 1 having log10(count(*) * 1e9 / (select count(*) from words)) >= 3.0),
+t as (select doc_id, regexp_replace(regexp_replace(replace(text, chr(173), ''), '{SPLITS[0]}', '\1{SPLITS[1]}\2', 'g'), '([À-ɏ])', '_\1_', 'g') as t from documents),
+m as (select doc_id, t, regexp_extract_all(t, '\b[A-Za-z]{{2,}}- +[A-Za-z]{{2,}}\b') as m, string_split_regex(t, '\b[A-Za-z]{{2,}}- +[A-Za-z]{{2,}}\b') as b from t),
+e as (select doc_id, unnest(range(1, len(b) + 1)) as i, unnest(b) as b, unnest(list_concat(m, [''])) as m from m),
+j as (select *, regexp_replace(m, '- +', '') as whole, lower(regexp_replace(m, '- +', '-')) as pair from e),
+k as (select doc_id, i, b || case when v.word is not null and pair not in ({KEPT}) then whole else m end as s from j left join v on v.word = lower(whole))
+select d.doc_id, regexp_replace(regexp_replace(s, '-\s+\b', '- ', 'g'), '_([À-ɏ])_', '\1', 'g') as text from documents d left join (select doc_id, string_agg(s, '' order by i) as s from k group by 1) using (doc_id)""")
 def dehyphenate(spark, d):
-    docs = I.table(spark, d, "documents").select("doc_id", F.regexp_replace("text", "tion ", "tion- ").alias("text"))
-    return A.dehyphenated(docs)
+    """Split words joined where the documents' own vocabulary makes the whole probable."""
+    docs = I.table(spark, d, "documents").select("doc_id", "text")
+    split = docs.withColumn("text", F.regexp_replace("text", SPLITS[0], f"$1{SPLITS[1]}$2"))
+    return A.dehyphenated(split, "text", A.word_scores(docs))
 
 
 @query("wrap_chunks")

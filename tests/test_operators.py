@@ -156,9 +156,8 @@ def test_rules_pass_when_nothing_is_wrong(spark):
 
 
 def test_text_repair(spark):
-    import pandas as pd
-
-    assert A.dehyphenate(pd.Series(["an exam- ple of long- term pol­icy", None])).tolist()[0] == "an example of long-term policy"
+    text = spark.createDataFrame([("an exam- ple of long-  term pol­icy, a- bout x- y",), (None,)], "text string")
+    assert [r.text for r in A.dehyphenated(text).collect()] == ["an example of long- term policy, a- bout x- y", None]
     df = spark.createDataFrame([(1, "aa bb cccccccccc dd")], "k int, t string")
     assert [r.chunk for r in A.wrapped(df, "t", 5).orderBy("chunk_no").collect()] == ["aa bb", "cccccccccc", "dd"]
     text = "One two.  Three four!\n\n \nAn exam-\nple of it. Last words here go on.\n\n"

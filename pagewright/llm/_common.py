@@ -2,24 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import re
-import shutil
-import tempfile
-import uuid
-
-import pagewright
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Executors need not have the package installed: its functions travel with the job.
-cloudpickle.register_pickle_by_value(pagewright)
+from pagewright.sources.shared import discard, fresh, shared_dir, written  # noqa: F401 - the operators take them from here
 
 BATCH_ROWS = 512
 BATCH_BYTES = 16 << 20
-NO_ID = (1 << 63) - 1
-"""Stands for a null doc_id inside an operator, so that null ids group and sort like any other."""
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,47 +21,6 @@ def arrow_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under the cluster's shared checkpoint folder. Where none is set, only a session within one
-    process (local[n]) gets a temporary one: executors elsewhere wouldn't see it."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._conf.get("spark.checkpoint.dir")
-    if not base:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir isn't set: these operators need a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="pagewright-")
-        atexit.register(shutil.rmtree, base, True)
-        spark.sparkContext.setCheckpointDir(base)
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a table in the shared folder: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = shared_dir(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.__dict__["_folder"] = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Removes the folder of a written table that nothing reads any more."""
-    folder = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df.__dict__["_folder"])
-    folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-
-
-def fresh(df: DataFrame, *names: str) -> list[str]:
-    """The names, each with underscores added until df has no column of that name (in any case)."""
-    taken, out = {c.lower() for c in df.columns}, []
-    for name in names:
-        while name.lower() in taken:
-            name += "_"
-        taken.add(name.lower())
-        out.append(name)
-    return out
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -7,7 +7,7 @@ and every word inside a verified window is hit.
 
 The hash set is broadcast while its measured size is at most BROADCAST_BYTES. Beyond it places and hashes (no
 words) are joined to it by a shuffle, and what meets is joined to its document again. Null texts have no words. Rows with equal doc_id and text get equal results and
-are all returned; null doc_ids take part. Benchmark rows that repeat count once per item_id; null
+are all returned; null doc_ids take part. Texts of any length are scanned whole. Benchmark rows that repeat count once per item_id; null
 item_ids are named "". An empty benchmark hits nothing; no documents, no rows.
 """
 
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm._common import table, written
+from pagewright.llm._common import fresh, table, written
 
 N = 13
 BROADCAST_BYTES = 32 << 20
@@ -89,22 +89,26 @@ def decisions(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
     return found.withColumn("copy", F.explode(F.expr("sequence(1L, copies)"))).drop("copy", "copies", "item_sets")
 
 
-def _keyed(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
-    """docs joined to found(__d, __k, ...) by doc_id and text; its own columns may have any other names."""
-    return docs.withColumn("__dk", F.xxhash64("text")).join(found, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__dk") == F.col("__k")), how).drop("__dk", "__d", "__k")
+def _keyed(docs: DataFrame, found: DataFrame, how: str, *more: str) -> DataFrame:
+    """docs joined to found(doc_id, dk, ...) by doc_id and text; `more` of found's columns come along under names that docs lacks."""
+    key, d, k, *names = fresh(docs, "key", "d", "k", *more)
+    found = found.select(F.col("doc_id").alias(d), F.col("dk").alias(k), *(F.col(c).alias(n) for c, n in zip(more, names, strict=True))).distinct()
+    return docs.withColumn(key, F.xxhash64("text")).join(found, F.col("doc_id").eqNullSafe(F.col(d)) & (F.col(key) == F.col(k)), how).select(*docs.columns, *names)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
     """docs without the contaminated documents; all others are kept whole, null doc_ids included."""
-    bad = decisions(docs, benchmark, n).where("contaminated").select(F.col("doc_id").alias("__d"), F.col("dk").alias("__k")).distinct()
-    return _keyed(docs, bad, "left_anti")
+    return _keyed(docs, decisions(docs, benchmark, n).where("contaminated"), "left_anti")
 
 
 def cut_spans(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
-    """docs with a column clean_text: the words outside of hits, lower-cased and joined by spaces; null texts stay null."""
-    found = decisions(docs, benchmark, n).select(F.col("doc_id").alias("__d"), F.col("dk").alias("__k"), F.col("spans").alias("__spans")).distinct()
-    kept = F.filter(F.transform(words(F.col("text")), lambda w, i: F.when(~F.exists("__spans", lambda s: (s["pos"] <= i + 1) & (i + 1 < s["pos"] + s["len"])), w)), lambda w: w.isNotNull())
-    return _keyed(docs, found, "inner").withColumn("clean_text", F.when(F.col("text").isNotNull(), F.array_join(kept, " "))).drop("__spans")
+    """docs with a column clean_text: the words outside of hits, lower-cased and joined by spaces; null texts stay null. A column of that
+    name is replaced, others may have any name."""
+    docs = docs.drop("clean_text")
+    (spans,) = fresh(docs, "spans")
+    kept = F.filter(F.transform(words(F.col("text")), lambda w, i: F.when(~F.exists(spans, lambda s: (s["pos"] <= i + 1) & (i + 1 < s["pos"] + s["len"])), w)), lambda w: w.isNotNull())
+    out = _keyed(docs, decisions(docs, benchmark, n), "inner", "spans")
+    return out.withColumn("clean_text", F.when(F.col("text").isNotNull(), F.array_join(kept, " "))).drop(spans)
 
 
 def op8_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -4,10 +4,9 @@ A known word scores its log frequency in each language. An unseen word is scored
 character n-grams (with word boundaries) of which any is known: first of MAX_N characters, then
 shorter ones. A text scores the mean over its words, and its language is the best one.
 
-Learning: a sample of distinct labelled texts, SAMPLE a language at most in expectation and SAMPLES in all
-(chosen by a hash of doc_id and text, so any size gives a sample of the same kind), of the MAX_LANGS commonest
-values of lang; of a text longer than SAMPLE_CHARS an excerpt of that length. The model keeps MAX_WORDS words and
-MAX_GRAMS n-grams at most, which bounds what is broadcast.
+Learning: a sample of distinct labelled texts, whole, SAMPLE a language at most in expectation and SAMPLES in all
+(chosen by a hash of doc_id and text, so any size gives a sample of the same kind). Words and n-grams are counted in Spark; the driver
+gets the frequencies of what the model keeps, MAX_WORDS words and MAX_GRAMS n-grams at most, which bounds what is broadcast.
 
 Null texts and texts without a letter are `und` with score 0. With no labelled text at all, every
 text is `und`. Ties go to the first language in alphabetical order. Prediction reads the text alone.
@@ -27,10 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagewright.llm._common import arrow_batches, excerpt, hash_fraction, held_out, table
+from pagewright.llm._common import arrow_batches, discard, hash_fraction, held_out, table, written
 
-SAMPLE, SAMPLES, MAX_LANGS = 1500, 60_000, 400
-SAMPLE_CHARS = 20_000
+SAMPLE, SAMPLES = 1500, 60_000
 MAX_N = 5
 MAX_WORDS = 200_000
 MAX_GRAMS = 300_000
@@ -52,34 +50,52 @@ def grams(word: str, n: int) -> list[str]:
     return [w[i : i + n] for i in range(len(w) - n + 1)]
 
 
-def _log_frequency(counts: dict[str, np.ndarray], most: int, langs: int) -> tuple[dict[str, int], np.ndarray]:
-    """Row numbers and rows of smoothed log frequencies by language, for the commonest entries."""
-    kept = sorted((k for k in counts if counts[k].sum() >= MIN_COUNT), key=lambda k: (-counts[k].sum(), k))[:most]
-    rows = np.array([counts[k] for k in kept], float).reshape(len(kept), langs)
-    total = sum((v for v in counts.values()), np.zeros(langs))
-    return {k: i for i, k in enumerate(kept)}, np.log((rows + SMOOTH) / (total + SMOOTH * (len(counts) + 1)))
+def _counted(batches: Iterator[pa.RecordBatch], of) -> Iterator[pa.RecordBatch]:
+    """Sums of the pairs ((lang, size, item), n) that `of` yields for each row, a batch at a time."""
+    for b in batches:
+        seen: Counter = Counter()
+        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for key, n in of(*row):
+                seen[key] += n
+        lang, size, item = zip(*seen, strict=True) if seen else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(size, pa.int32()), pa.array(item, pa.string()), pa.array(seen.values(), pa.int64())], ["lang", "size", "item", "n"])
+
+
+COUNTS = "lang string, size int, item string, n long"
+
+
+def _word_counts(lang: str, text: str) -> Iterator[tuple]:
+    return (((lang, 0, w), n) for w, n in Counter(words(text)).items())
+
+
+def _gram_counts(lang: str, word: str) -> Iterator[tuple]:
+    return (((lang, size, g), 1) for size in range(1, MAX_N + 1) for g in grams(word, size))
 
 
 class Model:
-    """Frequencies by language of words and of n-grams of each length."""
-
-    def __init__(self, samples: Iterable[tuple[str, str]]):
-        by_lang: dict[str, Counter] = {}
-        for lang, text in samples:
-            by_lang.setdefault(lang, Counter()).update(words(text))
-        self.langs = sorted(lang for lang, c in by_lang.items() if c)
-        n = len(self.langs)
-        word_counts: dict[str, np.ndarray] = {}
-        gram_counts: list[dict[str, np.ndarray]] = [{} for _ in range(MAX_N + 1)]
-        for k, lang in enumerate(self.langs):
-            for w, c in by_lang[lang].items():
-                word_counts.setdefault(w, np.zeros(n))[k] += c
-                for size in range(1, MAX_N + 1):
-                    for g in grams(w, size):
-                        gram_counts[size].setdefault(g, np.zeros(n))[k] += 1
-        self.letters = frozenset(c for w in word_counts for c in w)
-        self.words, self.word_rows = _log_frequency(word_counts, MAX_WORDS, n) if n else ({}, np.zeros((0, 0)))
-        self.grams = [_log_frequency(g, MAX_GRAMS // MAX_N, n) if g else ({}, np.zeros((0, n))) for g in gram_counts]
+    """Log frequencies by language of words and of n-grams of each length: tables[0] of words, tables[n] of n-grams, each (row numbers, rows).
+
+    kept: (size, item, lang, n) of the entries that it knows; totals: (size, lang, n) and entries: (size, distinct items) over all that was
+    counted, for smoothing; letters: all characters seen in words.
+    """
+
+    def __init__(self, kept: Iterable[tuple], totals: Iterable[tuple], entries: Iterable[tuple], letters: Iterable[str]):
+        totals, entries = list(totals), dict(entries)
+        self.langs = sorted({lang for _, lang, _ in totals})
+        self.letters = frozenset(letters)
+        at = {lang: k for k, lang in enumerate(self.langs)}
+        counts: list[dict[str, np.ndarray]] = [{} for _ in range(MAX_N + 1)]
+        for size, item, lang, n in kept:
+            counts[size].setdefault(item, np.zeros(len(at)))[at[lang]] = n
+        total = np.zeros((MAX_N + 1, len(at)))
+        for size, lang, n in totals:
+            total[size, at[lang]] = n
+        self.tables = []
+        for size, own in enumerate(counts):
+            names = sorted(own)
+            rows = np.array([own[w] for w in names], float).reshape(len(names), len(at))
+            self.tables.append(({w: i for i, w in enumerate(names)}, np.log((rows + SMOOTH) / (total[size] + SMOOTH * (entries.get(size, 0) + 1)))))
+        self.words = self.tables[0][0]
 
     def knows(self, word: str) -> bool:
         """Whether any letter of the word occurs in what was learned from."""
@@ -89,10 +105,10 @@ class Model:
         """The word's evidence for each language, 0 for the best."""
         at = self.words.get(word)
         if at is not None:
-            v = self.word_rows[at]
+            v = self.tables[0][1][at]
             return v - v.max()
         for n in range(MAX_N, 0, -1):
-            known, rows = self.grams[n]
+            known, rows = self.tables[n]
             if hit := [known[g] for g in grams(word, n) if g in known]:
                 v = rows[hit].mean(0)
                 return v - v.max()
@@ -130,15 +146,32 @@ class Scorer(dict):
 
 def train(docs: DataFrame, per_lang: int = SAMPLE) -> Model:
     """A model from docs(doc_id, text, lang): a sample of the labelled texts, see above."""
-    labelled = docs.where("lang is not null and text is not null")
-    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS)
-    sizes = {r[0]: r[1] for r in sizes.collect()}
-    if not sizes:
-        return Model([])
-    each = min(per_lang, SAMPLES // len(sizes))
-    share = F.create_map(*(F.lit(x) for k, n in sorted(sizes.items()) for x in (k, min(1.0, each / n))))
-    sample = labelled.where(hash_fraction("doc_id", "text") < share[F.col("lang")]).select("lang", excerpt("text", SAMPLE_CHARS).alias("text")).distinct()
-    return Model((r[0], r[1]) for r in sample.toLocalIterator())
+    labelled = docs.where("lang is not null and text is not null").select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
+    sizes = labelled.groupBy("lang").count()
+    each = min(per_lang, SAMPLES / max(1, sizes.count()))
+    share = sizes.select(F.col("lang").alias("of"), (F.lit(float(each)) / F.col("count")).alias("share"))
+    sample = labelled.join(share, F.col("lang") == F.col("of")).where(hash_fraction("doc_id", "text") < F.col("share"))
+    return learned(sample.select("lang", "text").distinct())
+
+
+def learned(texts: DataFrame) -> Model:
+    """A model of all the texts(lang, text)."""
+    arrow_batches(texts.sparkSession)
+    add = lambda df: df.groupBy("lang", "size", "item").agg(F.sum("n").alias("n"))
+    by_word = written(add(texts.select("lang", "text").mapInArrow(lambda b: _counted(b, _word_counts), COUNTS)), "langid-words")
+    by_gram = written(add(by_word.select("lang", F.col("item").alias("word")).mapInArrow(lambda b: _counted(b, _gram_counts), COUNTS)), "langid-grams")
+    both = by_word.unionByName(by_gram)
+    totals = both.groupBy("size", "lang").agg(F.sum("n")).collect()
+    items = written(both.groupBy("size", "item").agg(F.sum("n").alias("all")), "langid-items")
+    found = items.groupBy("size").agg(F.count("*"), F.count_if(F.col("all") >= MIN_COUNT)).collect()
+    known = items.where(F.col("all") >= MIN_COUNT).select(F.col("size").alias("s"), F.col("item").alias("i"), "all")
+    for size, _, n in found:  # only the commonest where there are too many
+        if n > (most := MAX_WORDS if size == 0 else MAX_GRAMS // MAX_N):
+            known = known.where(F.col("s") != size).unionByName(known.where(F.col("s") == size).orderBy(F.desc("all"), "i").limit(most))
+    kept = both.join(known, (F.col("size") == F.col("s")) & (F.col("item") == F.col("i"))).select("size", "item", "lang", "n").collect()
+    letters = {r[0] for r in by_gram.where("size = 1").select("item").distinct().collect()} - {"<", ">"}
+    discard(by_word, by_gram, items)
+    return Model(kept, totals, [r[:2] for r in found], letters)
 
 
 def annotate(docs: DataFrame, model: Model, lang: str = "lang_pred", score: str = "lang_score") -> DataFrame:

@@ -21,7 +21,7 @@ import heapq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagewright.llm._common import shuffle_partitions, table, written
+from pagewright.llm._common import fresh, shuffle_partitions, table, written
 
 PERIOD = 1024
 BLOCK = 16
@@ -138,12 +138,13 @@ def mixture(docs: DataFrame, keep: float, shares: dict | None = None, block: int
 
     Rows with one doc_id share its first place; rows without doc_id or place come last and stay.
     """
+    id_, at = fresh(docs, "id", "at")
     order = interleave(docs.where("doc_id is not null").dropDuplicates(["doc_id"]).select("doc_id", "source"), shares, block)
-    order = written(order.select(F.col("doc_id").alias("__id"), F.col("position").alias("__at")), "mixture")
-    limit = F.lit(order.where("__at is not null").count() * keep)
-    placed = docs.join(order, F.col("doc_id") == F.col("__id"), "left").where((F.col("__at") < limit) | F.col("__at").isNull())
+    order = written(order.select(F.col("doc_id").alias(id_), F.col("position").alias(at)), "mixture")
+    limit = F.lit(order.where(F.col(at).isNotNull()).count() * keep)
+    placed = docs.join(order, F.col("doc_id") == F.col(id_), "left").where((F.col(at) < limit) | F.col(at).isNull())
     n = shuffle_partitions(docs.sparkSession)
-    return placed.repartitionByRange(n, F.asc_nulls_last("__at")).sortWithinPartitions(F.asc_nulls_last("__at")).drop("__id", "__at")
+    return placed.repartitionByRange(n, F.asc_nulls_last(at)).sortWithinPartitions(F.asc_nulls_last(at)).drop(id_, at)
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:

@@ -85,7 +85,7 @@ def test_syncmer_likeness_by_hand(spark):
         assert r.near_edited == pytest.approx(like(texts[r.doc_id], edited)) and r.near_next == pytest.approx(like(texts[r.doc_id], after))
 
 
-def test_language_scores_by_hand():
+def test_language_scores_by_hand(spark):
     samples = [("en", "the thing that the other thinks thing"), ("de", "der schatten schreibt die schrift schatten")] * 2
     langs = ["de", "en"]
     counts = {lang: Counter(w for la, t in samples if la == lang for w in t.split()) for lang in langs}
@@ -106,7 +106,7 @@ def test_language_scores_by_hand():
                 return [0.0, 0.0]
         return [x - max(v) for x in v]
 
-    scorer = langid.Scorer(langid.Model(samples))
+    scorer = langid.Scorer(langid.learned(spark.createDataFrame(samples, "lang string, text string")))
     for text in ("the thing", "schattenthing unseen", "q", "Schrift THE those", "schreiben " * 40):
         rows = [evidence(w) for w in text.lower().split()]
         mean = [sum(r[k] for r in rows) / len(rows) for k in (0, 1)]

@@ -38,6 +38,10 @@ def bag(df, *cols):
     return sorted((tuple(r[c] for c in cols) for r in df.collect()), key=repr)
 
 
+def model_of(spark, samples):
+    return langid.learned(spark.createDataFrame(samples, "lang string, text string"))
+
+
 def test_language_id(docs, none):
     model = langid.train(docs)
     out = langid.annotate(docs, model)
@@ -51,10 +55,10 @@ def test_language_id(docs, none):
 
 
 def test_language_id_of_few_or_unlabelled_texts(spark, docs):
-    assert langid.Scorer(langid.Model([("en", "alpha beta")] * 50)).predict("alpha")[0] == "en"
+    assert langid.Scorer(model_of(spark, [("en", "alpha beta")] * 50)).predict("alpha")[0] == "en"
     unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
     assert langid.reject_unknown(unlabelled, langid.train(unlabelled)).count() == sum(bool(langid.words(t)) for _, t, _ in TEXTS)
-    model = langid.Model([("en", "the thing that the other thinks"), ("de", "der schatten schreibt die schrift")] * 2)
+    model = model_of(spark, [("en", "the thing that the other thinks"), ("de", "der schatten schreibt die schrift")] * 2)
     df = spark.createDataFrame([(1, "the thing thinks"), (2, "日本語"), (3, "das schreiben"), (4, "12 34"), (5, None), (1, "the thing thinks")], "doc_id long, text string").withColumn("lang_score", F.lit("clash"))
     assert sorted(r.doc_id for r in langid.reject_unknown(df, model).collect()) == [1, 1, 3]
     assert [r.doc_id for r in langid.reject_unknown(df, model, ["de"]).collect()] == [3]
@@ -72,8 +76,8 @@ def test_samples_are_bounded_where_ids_are_null_or_equal(spark):
     assert len(langid.train(spark.createDataFrame([(1, "wort " * 200_000, "de")], "doc_id long, text string, lang string")).langs) == 1
 
 
-def test_language_id_backs_off():
-    model = langid.Model([("en", "the thing that the other thinks " * 5), ("de", "der schatten schreibt die schrift " * 5)] * 2)
+def test_language_id_backs_off(spark):
+    model = model_of(spark, [("en", "the thing that the other thinks " * 5), ("de", "der schatten schreibt die schrift " * 5)] * 2)
     assert langid.Scorer(model).predict("schreibschatten")[0] == "de"
     assert langid.Scorer(model).predict("thinkthat")[0] == "en"
     assert langid.Scorer(model).predict("1 2 3") == ("und", 0.0)

@@ -5,7 +5,6 @@ import pytest
 
 import corpus_pipeline
 from pagewright.llm import minhash, mixing, simhash, syncmers, urltrust
-from pagewright.plans import corpus
 
 
 @pytest.mark.parametrize("sources", [1, 4])
@@ -68,11 +67,3 @@ def test_mixing_takes_more_sources_than_its_least_period(spark):
     got = mixing.interleave(df).collect()
     assert sorted(r.position for r in got) == list(range(1500)) and len({r.source for r in got}) == 1300
     assert mixing.long_enough(20) == mixing.PERIOD and mixing.long_enough(1300) == 8192
-
-
-def test_merge_inputs_take_the_whole_table(spark):
-    sf = "/root/testdata/sf0.001"
-    draft, cand = corpus._merge_inputs(spark, sf)
-    n = spark.read.parquet(f"{sf}/part.parquet").count()
-    assert draft.union(cand.select(draft.columns)).select("pos").distinct().count() == draft.count() + cand.count() == n
-    assert corpus.merge_fuzzy(spark, sf).count() == cand.count()

@@ -171,21 +171,22 @@ def test_url_trust_flows_along_links(spark):
     e = spark.createDataFrame([("good", "friend", 1), ("good", "good", 1), ("farm", "bad", 9), ("farm", "farm", 1), ("bad", "bad", 1), ("friend", "friend", 1)], "src string, dst string, n long")
     s = spark.createDataFrame([("good", 1.0, 0.0), ("bad", 0.0, 1.0), ("farm", 0.0, 0.0), ("friend", 0.0, 0.0)], "host string, st double, sd double")
     got = {r.host: r for r in urltrust.propagate(e, s).collect()}
-    assert got["friend"].trust == pytest.approx(0.85) and got["friend"].distrust == 0
+    assert got["friend"].trust == pytest.approx(0.85 / 1.85) and got["friend"].distrust == 0 and got["good"].trust == 1
     assert got["farm"].distrust == pytest.approx(0.85) and got["farm"].trust == 0
 
 
 def test_url_verdicts_of_hosts_without_rules(spark):
-    """One is blocked by its links, one saved by trust, one far away blocked through another; the SQL says the same."""
+    """Some are blocked by their links (one of them in spite of a trusted link), one saved by several trusted hosts, one far away blocked through another; the SQL says the same."""
     import duckdb
 
     to = lambda h, n=1: f'<a href="http://{h}.test/x">x</a>' * n
-    pages = [(0, "http://bad.test/spam", None), (1, "http://bad.test/other", to("clean")), (2, "http://clean.test/", None), (3, "http://mixed.test/", to("clean", 9) + to("bad")), (4, "http://good.test/a", to("friend")), (5, "http://friend.test/", to("bad", 9) + to("clean")), (6, "http://farm.test/", to("bad", 9) + to("clean")), (7, "http://far.test/", to("farm")), (8, None, to("bad"))]
+    pages = [(0, "http://bad.test/spam", None), (1, "http://bad.test/other", to("clean")), (2, "http://clean.test/", None), (3, "http://mixed.test/", to("clean", 9) + to("bad")), (4, "http://good.test/a", to("friend")), (5, "http://friend.test/", to("bad", 9) + to("clean")), (6, "http://farm.test/", to("bad", 9) + to("clean")), (7, "http://far.test/", to("farm")), (8, None, to("bad")), (9, "http://kept.test/", to("bad", 7) + to("clean", 3))]
+    pages += [(10 + i, f"http://g{i}.good.test/a", to("kept")) for i in range(3)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
     rules = (("block", "bad.test/"), ("allow", "good.test/"))
     rows = urltrust.url_verdicts(df, rules).collect()
     got = {r.host: r.verdict for r in rows}
-    assert got == {"bad.test": "block", "clean.test": "allow", "mixed.test": "allow", "good.test": "allow", "friend.test": "allow", "farm.test": "block", "far.test": "block", "": "block"}
+    assert got == {"bad.test": "block", "clean.test": "allow", "mixed.test": "allow", "good.test": "allow", "friend.test": "block", "kept.test": "allow", **{f"g{i}.good.test": "allow" for i in range(3)}, "farm.test": "block", "far.test": "block", "": "block"}
     con = duckdb.connect()
     con.register("pages", df.toPandas())
     rel = con.sql(urltrust.oracle(rules))

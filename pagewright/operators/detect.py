@@ -186,6 +186,28 @@ def chapters_by_heading(pages: DataFrame, books: DataFrame, most: int | None = N
     return out.select("book_id", "title", "start", "end")
 
 
+def chosen_chapters(pages: DataFrame, given: DataFrame, crop: DataFrame | None = None, most: int | None = None) -> DataFrame:
+    """(book_id, title, start, end, way): each book's chapters from the best that there is: given seeds(book_id, title, printed, pos), else its contents run, else chapter lines.
+
+    Printed pages are moved by the offset that the first seed shows, none where it shows none. crop(book_id, first_printed, last_printed) keeps a book's
+    chapters within those pages; `most` leaves the first so many.
+    """
+    listed = run_entries(pages, contents_run(pages)).join(given.select("book_id").distinct(), "book_id", "left_anti")
+    seeds = given.select("book_id", "title", "printed", "pos", F.lit("given").alias("way")).unionByName(listed.select("book_id", "title", F.col("start").alias("printed"), "pos", F.lit("contents").alias("way")))
+    books = pages.groupBy("book_id").agg(F.max("page").alias("page_count")).join(inferred_offset(pages, seeds), "book_id", "left").withColumn("offset", F.coalesce("offset", F.lit(0)))
+    books = books.join(crop, "book_id", "left") if crop is not None else books.withColumns({"first_printed": F.lit(None).cast("int"), "last_printed": F.lit(None).cast("int")})
+    first, last = F.greatest(F.lit(1), F.col("first_printed") + F.col("offset")), F.least(F.col("page_count"), F.col("last_printed") + F.col("offset"))
+    books = books.select("book_id", "page_count", "offset", first.alias("first"), last.alias("last")).where("first <= last")
+    way = seeds.select("book_id", "way").distinct()
+    by_seed = chapters_from_seeds(seeds, books).select("book_id", "title", "start", "end").join(way, "book_id")
+    rest = books.join(way, "book_id", "left_anti")
+    by_line = chapters_by_heading(pages.join(rest.select("book_id"), "book_id", "left_semi"), rest, most).withColumn("way", F.lit("headings"))
+    out = by_seed.unionByName(by_line)
+    if most:
+        out = out.withColumn("__k", F.row_number().over(Window.partitionBy("book_id").orderBy("start", "title"))).where(F.col("__k") <= most).drop("__k")
+    return out
+
+
 def range_text(pages: DataFrame, ranges: DataFrame) -> DataFrame:
     """ranges(book_id, title, start, end) with their pages' texts joined by line feeds, blank pages kept."""
     spelt = ranges.withColumn("page", F.explode(F.expr("sequence(start, greatest(start, end))")))

@@ -34,19 +34,19 @@ def segments(anchors: DataFrame) -> DataFrame:
     return out.select("book_id", "segment", "printed_start", "printed_end", "offset", "anchors", (F.col("anchors") >= 2).alias("confirmed"))
 
 
-def covering(pages: DataFrame, sure: DataFrame) -> DataFrame:
-    """pages(book_id, printed), distinct, with inside: the offset of the segment that covers the page, or null.
+def covering(pages: DataFrame, sure: DataFrame, value: str = "offset") -> DataFrame:
+    """pages(book_id, printed), distinct, with inside: a value (the offset) of the segment that covers the page, or null.
 
     An as-of join: segments don't overlap, so the last that starts at a page or before it is the only one that can cover it. Pages and starts stand in one
     order within blocks of BLOCK pages; a segment starts anew in each block that it reaches, so no task holds a book.
     """
     reach = F.explode(F.sequence(F.floor(F.col("printed_start") / BLOCK), F.floor(F.col("printed_end") / BLOCK)))
-    starts = sure.select("book_id", reach.alias("block"), F.col("printed_start").alias("from"), F.col("printed_end").alias("to"), "offset")
-    starts = starts.select("book_id", "block", F.greatest(F.col("from"), F.col("block") * BLOCK).cast("long").alias("at"), F.struct("to", "offset").alias("segment"), F.lit(None).cast("int").alias("printed"))
+    starts = sure.select("book_id", reach.alias("block"), F.col("printed_start").alias("from"), F.col("printed_end").alias("to"), F.col(value).alias("value"))
+    starts = starts.select("book_id", "block", F.greatest(F.col("from"), F.col("block") * BLOCK).cast("long").alias("at"), F.struct("to", "value").alias("segment"), F.lit(None).cast("int").alias("printed"))
     asked = pages.select("book_id", F.floor(F.col("printed") / BLOCK).alias("block"), F.col("printed").cast("long").alias("at"), F.lit(None).cast(starts.schema["segment"].dataType).alias("segment"), "printed")
     so_far = Window.partitionBy("book_id", "block").orderBy("at", F.col("printed").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     both = starts.unionByName(asked).withColumn("last", F.last("segment", ignorenulls=True).over(so_far)).where("printed is not null")
-    return both.select("book_id", "printed", F.when(F.col("printed") <= F.col("last.to"), F.col("last.offset")).alias("inside"))
+    return both.select("book_id", "printed", F.when(F.col("printed") <= F.col("last.to"), F.col("last.value")).alias("inside"))
 
 
 def resolve(entries: DataFrame, anchors: DataFrame) -> DataFrame:

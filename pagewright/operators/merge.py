@@ -101,7 +101,7 @@ def _numbers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 book, taken, free = book_id, set(), 1
             own = None if pd.isna(sno) else int(sno)
             if turn >= 0:
-                own = free if not own or own in taken else own
+                own = free if own is None or own in taken else own
                 out.append((book_id, pos, own))
             if own is not None:
                 taken.add(own)
@@ -109,6 +109,16 @@ def _numbers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["book_id", "pos", "new_sno"]).astype({"new_sno": "Int32"})
 
 
+def numbered_in_turn(rows: DataFrame) -> DataFrame:
+    """(book_id, pos, new_sno) of rows(book_id, turn, pos, sno) in order of turn and pos: a number that is null or taken becomes the largest so far plus one.
+
+    Rows of turn -1 only take their numbers. A book's rows stream through one task, which holds the numbers that are taken.
+    """
+    kind = rows.schema["book_id"].dataType.simpleString()
+    line = rows.select("book_id", "turn", F.col("pos").cast("long").alias("pos"), F.col("sno").cast("int").alias("sno"))
+    return line.repartition("book_id").sortWithinPartitions("book_id", "turn", "pos").mapInPandas(_numbers, f"book_id {kind}, pos long, new_sno int")
+
+
 def apply(draft: DataFrame, analysis: DataFrame, resolutions: DataFrame | None = None) -> DataFrame:
     """The draft after the merge. resolutions(book_id, pos, action): use_candidate replaces the first draft row of that number and
     keeps the number, keep_both appends, anything else keeps the draft.
@@ -126,9 +136,7 @@ def apply(draft: DataFrame, analysis: DataFrame, resolutions: DataFrame | None =
     old = body.select("book_id", "sno", *(F.when(F.col("n").isNotNull(), F.col(f"n.{c}")).otherwise(F.col(c)).alias(c) for c in ("title", "kind", "level", "printed")))
     more = a.where("category = 'new' or (category = 'conflict' and action = 'keep_both')").withColumn("turn", F.when(F.col("category") == "new", 0).otherwise(1))
     books = more.select("book_id").distinct()
-    line = more.select("book_id", "turn", F.col("pos").cast("long").alias("pos"), F.col("sno").cast("int").alias("sno"))
-    line = line.unionByName(draft.join(books, "book_id", "left_semi").select("book_id", F.lit(-1).alias("turn"), F.lit(0).cast("long").alias("pos"), F.col("sno").cast("int").alias("sno")))
-    kind = draft.schema["book_id"].dataType.simpleString()
-    numbers = line.repartition("book_id").sortWithinPartitions("book_id", "turn", "pos").mapInPandas(_numbers, f"book_id {kind}, pos long, new_sno int")
+    line = more.select("book_id", "turn", "pos", F.nullif("sno", F.lit(0)).alias("sno")).unionByName(draft.join(books, "book_id", "left_semi").select("book_id", F.lit(-1).alias("turn"), F.lit(0).cast(more.schema["pos"].dataType).alias("pos"), "sno"))
+    numbers = numbered_in_turn(line)
     new = more.drop("sno").join(numbers, ["book_id", "pos"]).select("book_id", F.col("new_sno").alias("sno"), "title", "kind", "level", "printed")
     return old.unionByName(new)

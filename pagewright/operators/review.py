@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions import text as T
+from pagewright.operators.merge import numbered_in_turn
 
 
 def provenance_events(candidates: DataFrame, mode: str, recorded_at: Column) -> DataFrame:
@@ -76,14 +77,23 @@ def appended(draft: DataFrame, accepted: DataFrame) -> DataFrame:
 
 
 def selected_numbers(rows: DataFrame) -> DataFrame:
-    """rows(book_id, pos, sno) in order of pos with unique numbers: one that was taken becomes the largest so far plus one.
+    """rows(book_id, pos, sno) in order of pos with unique numbers: one that is missing or taken becomes the largest so far plus one."""
+    return numbered_in_turn(rows.withColumn("turn", F.lit(0))).select("book_id", "pos", F.col("new_sno").alias("sno"))
 
-    A book's candidates are one list, as a person reviews them, folded in order.
-    """
-    listed = F.transform(F.sort_array(F.collect_list(F.struct("pos", "sno"))), lambda x: x)
-    step = lambda a, x: F.array_append(a, F.when(F.array_contains(a, x["sno"]), F.array_max(a) + 1).otherwise(x["sno"]))
-    got = rows.groupBy("book_id").agg(listed.alias("l")).withColumn("n", F.aggregate("l", F.array().cast("array<int>"), step))
-    return got.select("book_id", F.posexplode(F.arrays_zip("l", "n")).alias("i", "z")).select("book_id", F.col("z.l.pos").alias("pos"), F.col("z.n").alias("sno"))
+
+def union_rendered(rows: DataFrame) -> DataFrame:
+    """rows(book_id, pos, fields map) as comma-separated lines over all keys, sorted; pos 0 is the header, and without rows there is a header alone."""
+    keys = [r[0] for r in rows.select(F.explode(F.map_keys("fields")).alias("k")).distinct().orderBy("k").collect()] or ["printed_start", "source", "title"]  # a row a column
+    row = rows.select("book_id", "pos", *(F.element_at("fields", F.lit(k)).alias(k) for k in keys))
+    head = rows.select("book_id").distinct() if not rows.isEmpty() else rows.sparkSession.createDataFrame([(None,)], f"book_id {rows.schema['book_id'].dataType.simpleString()}")
+    return rendered(row, keys, "csv").unionByName(head.select("book_id", F.lit(0).cast(rows.schema["pos"].dataType).alias("pos"), F.lit(",".join(keys)).alias("line")))
+
+
+def files_of_outlines(outlines: DataFrame, files: DataFrame, suffix: str = ".pdf") -> DataFrame:
+    """outlines(outline) with file: of files(file) the one named like the outline without its ending and its last _outline, _outline_clean, _contents, _toc or _index; else null."""
+    stem = F.regexp_replace(F.regexp_replace("outline", r"\.[^.]*$", ""), r"(?i)(_outline(_clean)?|_contents|_toc|_index)$", "")
+    named = files.select("file").distinct().withColumnRenamed("file", "__file")
+    return outlines.join(named, F.concat(stem, F.lit(suffix)) == F.col("__file"), "left").withColumnRenamed("__file", "file")
 
 
 def rendered(rows: DataFrame, columns: list[str], kind: str = "tsv") -> DataFrame:

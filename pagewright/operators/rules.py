@@ -125,6 +125,26 @@ def preflight_issues(outline: DataFrame, anchors: DataFrame, books: DataFrame, s
     ], "preflight_passed", any_finding=True)
 
 
+BY_PAIR, BY_PAGE = ("invalid_anchor", "index_mismatch", "anchor_out_of_range"), ("offset_conflict", "segment_unconfirmed")
+"""Codes whose key is an anchor's pair of pages, and a printed page."""
+
+
+def issue_sources(issues: DataFrame, anchors: DataFrame) -> DataFrame:
+    """issues(book_id, severity, code, key) of mapping_issues with what they speak of: anchors (pairs of pages), segment and entry; empty or null where a finding speaks of none.
+
+    Anchors meet findings by pair or printed page, segments by the page that they cover, entries by their number.
+    """
+    pages = anchors.select("book_id", F.format_string("%d:%d", "printed", "physical").alias("key"), "printed", "physical", F.lit(True).alias("pair"))
+    pages = pages.union(anchors.where("not exception").select("book_id", F.col("printed").cast("string"), "printed", "physical", F.lit(False)))
+    kind = issues.withColumn("pair", F.when(F.col("code").isin(*BY_PAIR), True).when(F.col("code").isin(*BY_PAGE), False))
+    at = pages.groupBy("book_id", "key", "pair").agg(F.sort_array(F.collect_set(F.struct("printed", "physical"))).alias("anchors"))
+    asked = kind.where("not pair").select("book_id", F.col("key").cast("int").alias("printed")).distinct()
+    inside = mapping.covering(asked, mapping.segments(anchors), "segment").select("book_id", F.col("printed").cast("string").alias("key"), F.lit(False).alias("pair"), F.col("inside").alias("segment"))
+    got = kind.join(at, ["book_id", "key", "pair"], "left").join(inside, ["book_id", "key", "pair"], "left")
+    none = F.array().cast(at.schema["anchors"].dataType)
+    return got.select("book_id", "severity", "code", "key", F.coalesce("anchors", none).alias("anchors"), "segment", F.when(F.col("code") == "uncovered_entry", F.col("key").cast("int")).alias("entry"))
+
+
 # What helps against a finding, for those who review a mapping.
 ACTIONS = {
     "two_anchors_required": "Pair two printed pages with their physical pages.",

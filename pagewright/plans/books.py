@@ -212,14 +212,15 @@ def printed_ends(spark, d):
     return P.printed_ends(rows).select("book_id", "pos", "printed", "printed_end")
 
 
-@query("physical_rows", f"""with {RESOLVED}, spot as (select book_id, printed, physical from resolved), r as (select book_id, sno, printed as start, printed + 1 as "end", sno % 7 = 0 as given from entries),
+@query("physical_rows", f"""with {RESOLVED}, spot as (select book_id, printed, physical from resolved), r as (select book_id, sno, printed as start, printed + case when sno = max(sno) over (partition by book_id) then 0 else 1 end as "end", sno % 7 = 0 as given from entries),
 j as (select r.*, a.physical as s, b.physical as e from r left join spot a on a.book_id = r.book_id and a.printed = r.start left join spot b on b.book_id = r.book_id and b.printed = r."end")
 select book_id, sno, case when given then start when e is not null then s end as physical_start, case when given then "end" when s is not null then e end as physical_end,
-case when not given and s is null then start when not given and e is null then "end" end as unresolved from j where sno < (select max(sno) from entries m where m.book_id = j.book_id)""")
+case when not given and s is null then start when not given and e is null then "end" end as unresolved from j""")
 def physical_rows(spark, d):
     e = entries(spark, d)
     last = e.groupBy("book_id").agg(F.max("sno").alias("last"))
-    rows = e.join(last, "book_id").where("sno < last").select("book_id", "sno", F.col("printed").alias("start"), (F.col("printed") + 1).alias("end"), (F.col("sno") % 7 == 0).alias("already_physical"))
+    end = F.col("printed") + F.when(F.col("sno") == F.col("last"), 0).otherwise(1)  # the last entry ends on its own page
+    rows = e.join(last, "book_id").select("book_id", "sno", F.col("printed").alias("start"), end.alias("end"), (F.col("sno") % 7 == 0).alias("already_physical"))
     return M.physical_rows(rows, I.anchors(spark, d)).select("book_id", "sno", "physical_start", "physical_end", "unresolved")
 
 

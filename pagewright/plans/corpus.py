@@ -9,8 +9,8 @@ from pagewright.functions import text as T
 from pagewright.operators import analytics as A
 from pagewright.operators import library as L
 from pagewright.operators import merge, rules
+from pagewright.plans import ORACLES, query
 from pagewright.plans import inputs as I
-from pagewright.plans import query
 from pagewright.plans.books import FILENAME, RESOLVED, entries
 
 DRAFT = """o as (select p_brand as book_id, cast(p_partkey % 23 as int) as sno, case when p_partkey % 17 = 0 then ' ' else p_name end as title, case when p_partkey % 13 = 0 then 'odd' else 'section' end as kind,
@@ -68,6 +68,18 @@ placed as (select *, case when pdf_index is not null then physical when printed
 need as (select distinct book_id from placed where printed <> 0 and not brought), lone as (select book_id from have where k % 3 = 0)"""
 
 
+@query("issue_sources", f"""with {I.ANCHORS}, {I.SEGMENTS}, i as ({ORACLES["issues_mapping"]}), pairs as (select book_id, printed || ':' || physical as key, true as pair, printed, physical from anchors
+union select book_id, cast(printed as varchar), false, printed, physical from anchors where not exception),
+near as (select book_id, key, pair, count(*) as anchors, string_agg(physical, ',' order by physical) as pages from pairs group by 1, 2, 3), k as (select *, case when code in ('invalid_anchor', 'index_mismatch', 'anchor_out_of_range') then true when code in ('offset_conflict', 'segment_unconfirmed') then false end as pair from i)
+select k.book_id, severity, code, k.key, cast(coalesce(anchors, 0) as int) as anchors, coalesce(pages, '') as pages, (select min(segment) from segments s where s.book_id = k.book_id and not k.pair and try_cast(k.key as int) between s.printed_start and s.printed_end) as segment,
+case when code = 'uncovered_entry' then cast(k.key as int) end as entry from k left join near on near.book_id = k.book_id and near.key = k.key and near.pair = k.pair""")
+def issue_sources(spark, d):
+    """Findings on the mapping with the anchors, segment and entry that each speaks of."""
+    got = rules.issue_sources(issues_mapping(spark, d), I.anchors(spark, d))
+    pages = F.array_join(F.transform("anchors", lambda a: a["physical"].cast("string")), ",")
+    return got.select("book_id", "severity", "code", "key", F.size("anchors").alias("anchors"), pages.alias("pages"), "segment", "entry")
+
+
 @query("issues_preflight", f"""with {PREFLIGHT}, i as (
 select book_id, 'blocking' as severity, 'pdf_missing' as code, cast(null as varchar) as key from state where not present
 union all select book_id, 'blocking', 'registered_hash_mismatch', null from have where not hash_ok
@@ -134,11 +146,11 @@ def merge_apply(spark, d):
     return merge.apply(draft, found, found.where("category = 'conflict'").select("book_id", "pos", action.alias("action")))
 
 
-FILES = "files as (select doc_id as name, sha256(text) as source_hash, 'book-' || left(sha256(text), 16) as book_id, cast(strlen(text) as int) as size_bytes from documents where text is not null)"
+FILES = "files as (select doc_id as name, sha256(coalesce(text, '')) as source_hash, 'book-' || left(sha256(coalesce(text, '')), 16) as book_id, cast(strlen(coalesce(text, '')) as int) as size_bytes from documents)"
 
 
 def _files(spark, d):
-    return L.identified(I.table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("name"), F.col("text").alias("content")))
+    return L.identified(I.table(spark, d, "documents").select(F.col("doc_id").alias("name"), F.coalesce("text", F.lit("")).alias("content")))
 
 
 @query("book_identity", f"with {FILES} select * from files")
@@ -177,18 +189,18 @@ def default_run(spark, d):
     return L.default_run(runs, runs.where("book_id % 3 = 0").groupBy("book_id").agg(F.min("run_id").alias("run_id")))
 
 
-@query("history_labels", f"with {RUNS}, books as (select c_custkey as book_id, c_name as filename from customer where c_custkey % 3 <> 0) select run_id, r.book_id, status, coalesce(filename, cast(r.book_id as varchar)) as label from runs r left join books b using (book_id)")
+@query("history_labels", f"with {RUNS}, books as (select c_custkey as book_id, case when c_acctbal >= 0 then c_name end as filename from customer) select run_id, r.book_id, status, coalesce(filename, cast(r.book_id as varchar)) as label from runs r left join books b using (book_id)")
 def history_labels(spark, d):
-    books = I.table(spark, d, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("book_id"), F.col("c_name").alias("filename"))
+    books = I.table(spark, d, "customer").select(F.col("c_custkey").alias("book_id"), F.expr("case when c_acctbal >= 0 then c_name end").alias("filename"))
     return L.labels(_runs(spark, d), books)
 
 
-@query("library_lifecycle", f"""with {RUNS}, facts as (select c_custkey as book_id, c_custkey % 2 = 0 as d, c_custkey % 4 = 0 as o, c_custkey % 8 = 0 as m, (select count(*) from runs r where r.book_id = c_custkey and status = 'completed' and c_custkey % 5 = 0) as n from customer)
+@query("library_lifecycle", f"""with {RUNS}, facts as (select c_custkey as book_id, c_custkey % 2 = 0 as d, c_custkey % 4 = 0 as o, c_custkey % 8 = 0 as m, (select count(*) from runs r where r.book_id = c_custkey and status = 'completed') as n from customer)
 select book_id, case when n > 0 then 'extracted' when m then 'mapped' when o then 'outlined' when d then 'drafted' else 'registered' end as state,
 case when n > 0 then 'browse' when m then 'extract' when o then 'map pages' when d then 'review outline' else 'build outline' end as next_action from facts""")
 def library_lifecycle(spark, d):
     books = I.table(spark, d, "customer").select(F.col("c_custkey").alias("book_id"))
-    runs = _runs(spark, d).where("status = 'completed' and book_id % 5 = 0").groupBy("book_id").agg(F.count("*").alias("completed_runs"))
+    runs = _runs(spark, d).where("status = 'completed'").groupBy("book_id").agg(F.count("*").alias("completed_runs"))
     k = F.col("book_id")
     return L.lifecycle(books, books.select(k, (k % 2 == 0).alias("has_draft"), (k % 4 == 0).alias("outline_approved"), (k % 8 == 0).alias("mapping_approved")).join(runs, "book_id", "left"))
 

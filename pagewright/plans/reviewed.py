@@ -114,3 +114,23 @@ def export_json(spark, d):
 def shown_sizes(spark, d):
     k = F.col("p_partkey")
     return I.table(spark, d, "part").select("p_partkey", R.megabytes(k * 40000).alias("size"), R.short_path(F.concat(F.lit("/data/out/"), "p_brand", F.lit("/"), k.cast("string"))).alias("path"))
+
+
+@query("export_union", f"""with {ROWS}, l as (select book_id, pos, case when sno % 2 = 0 then coalesce(cast(printed as varchar), '') else '' end || ',' || case when sno % 2 = 1 then 'index' else '' end || ',' || title as line from rows)
+select * from l union all select distinct book_id, 0, 'printed_start,source,title' from rows""")
+def export_union(spark, d):
+    """Rows of two kinds in one table: columns are the union of their keys."""
+    rows = _rows(spark, d)
+    fields = F.when(F.col("sno") % 2 == 0, F.create_map(F.lit("title"), "title", F.lit("printed_start"), F.col("printed").cast("string"))).otherwise(F.create_map(F.lit("title"), "title", F.lit("source"), F.lit("index")))
+    return R.union_rendered(rows.select("book_id", "pos", fields.alias("fields")))
+
+
+OUTLINES = "outlines as (select p_partkey || case p_partkey % 5 when 0 then '_outline' when 1 then '_Outline_Clean' when 2 then '_toc' when 3 then '_index_x' else '' end || '.csv' as outline, p_partkey as k from part), files as (select distinct p_size || '.pdf' as file from part)"
+
+
+@query("outline_files", f"with {OUTLINES} select outline, file from outlines left join files on file = regexp_replace(left(outline, -4), '(?i)(_outline(_clean)?|_contents|_toc|_index)$', '') || '.pdf'")
+def outline_files(spark, d):
+    part = I.table(spark, d, "part")
+    ends = F.element_at(F.array(*map(F.lit, ("_outline", "_Outline_Clean", "_toc", "_index_x", ""))), (F.col("p_partkey") % 5).cast("int") + 1)
+    outlines = part.select(F.concat(F.col("p_partkey").cast("string"), ends, F.lit(".csv")).alias("outline"))
+    return R.files_of_outlines(outlines, part.select(F.concat(F.col("p_size").cast("string"), F.lit(".pdf")).alias("file")))

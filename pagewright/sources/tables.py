@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions import text as T
@@ -45,13 +45,26 @@ def write_outline(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True, nullValue="", emptyValue="")
 
 
+def run_id(day: Column | None = None) -> Column:
+    """yyyymmdd and twelve hex digits, another for each row."""
+    return F.concat(F.date_format(F.current_timestamp() if day is None else day, "yyyyMMdd"), F.lit("-"), F.substring(F.replace(F.uuid(), F.lit("-"), F.lit("")), 1, 12))
+
+
 def publish_run(sections: DataFrame, root: str, run_id: str, started_at: str, status: str = "completed") -> None:
-    """Writes the sections of a run, then its records, a row a book."""
+    """Writes the sections of a run, then its records, a row a book. A run that fails or is cancelled leaves nothing; a run_id is taken once."""
     spark = sections.sparkSession
-    sections.write.mode("overwrite").json(f"{root}/runs/run_id={run_id}")
-    written = spark.read.schema(SECTION).json(f"{root}/runs/run_id={run_id}")
-    records = written.groupBy("book_id").agg(F.count("*").alias("expected_count"), F.count_if(F.col("text") != "").alias("written_count"))
-    records.select(F.lit(run_id).alias("run_id"), "book_id", F.lit(started_at).cast("timestamp").alias("started_at"), F.lit(status).alias("status"), "expected_count", "written_count").write.mode("append").json(f"{root}/history")
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/runs/run_id={run_id}")
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(folder):
+        raise FileExistsError(f"{run_id}: there is such a run")
+    try:
+        sections.write.json(f"{root}/runs/run_id={run_id}")
+        written = spark.read.schema(SECTION).json(f"{root}/runs/run_id={run_id}")
+        records = written.groupBy("book_id").agg(F.count("*").alias("expected_count"), F.count_if(F.col("text") != "").alias("written_count"))
+        records.select(F.lit(run_id).alias("run_id"), "book_id", F.lit(started_at).cast("timestamp").alias("started_at"), F.lit(status).alias("status"), "expected_count", "written_count").write.mode("append").json(f"{root}/history")
+    except BaseException:
+        fs.delete(folder, True)
+        raise
 
 
 def read_runs(spark: SparkSession, root: str) -> DataFrame:

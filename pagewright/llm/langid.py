@@ -21,6 +21,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +34,8 @@ MAX_N = 5
 MAX_WORDS = 200_000
 MAX_GRAMS = 300_000
 MIN_COUNT = 2
+BROADCAST_LANGS = 1 << 16
+"""Languages up to which their shares of the sample are broadcast."""
 CACHE = 300_000
 SMOOTH = 0.5
 EVIDENCE = 12.0
@@ -75,26 +78,31 @@ def _gram_counts(lang: str, word: str) -> Iterator[tuple]:
 class Model:
     """Log frequencies by language of words and of n-grams of each length: tables[0] of words, tables[n] of n-grams, each (row numbers, rows).
 
-    kept: (size, item, lang, n) of the entries that it knows; totals: (size, lang, n) and entries: (size, distinct items) over all that was
-    counted, for smoothing; letters: all characters seen in words.
+    kept: an Arrow table (size, item, of: a list of (lang, n)) of the entries that it knows; totals: (size, lang, n) and entries: (size,
+    distinct items) over all that was counted, for smoothing; letters: all characters seen in words.
     """
 
-    def __init__(self, kept: Iterable[tuple], totals: Iterable[tuple], entries: Iterable[tuple], letters: Iterable[str]):
+    def __init__(self, kept: pa.Table | None = None, totals: Iterable[tuple] = (), entries: Iterable[tuple] = (), letters: Iterable[str] = ()):
         totals, entries = list(totals), dict(entries)
         self.langs = sorted({lang for _, lang, _ in totals})
         self.letters = frozenset(letters)
         at = {lang: k for k, lang in enumerate(self.langs)}
-        counts: list[dict[str, np.ndarray]] = [{} for _ in range(MAX_N + 1)]
-        for size, item, lang, n in kept:
-            counts[size].setdefault(item, np.zeros(len(at)))[at[lang]] = n
         total = np.zeros((MAX_N + 1, len(at)))
         for size, lang, n in totals:
             total[size, at[lang]] = n
         self.tables = []
-        for size, own in enumerate(counts):
-            names = sorted(own)
-            rows = np.array([own[w] for w in names], float).reshape(len(names), len(at))
-            self.tables.append(({w: i for i, w in enumerate(names)}, np.log((rows + SMOOTH) / (total[size] + SMOOTH * (entries.get(size, 0) + 1)))))
+        for size in range(MAX_N + 1):
+            own = kept.filter(pa.compute.equal(kept["size"], size)).combine_chunks() if at else None
+            names = own["item"].to_pylist() if at else []
+            rows = np.zeros((len(names), len(at)), np.float32)
+            if names:
+                of = own["of"].combine_chunks()
+                row = np.repeat(np.arange(len(names)), np.diff(of.offsets.to_numpy()))
+                lang = of.flatten().field("lang").dictionary_encode()
+                col = np.array([at[x] for x in lang.dictionary.to_pylist()])[lang.indices.to_numpy()]
+                rows[row, col] = of.flatten().field("n").to_numpy()
+            rows += SMOOTH
+            self.tables.append(({w: i for i, w in enumerate(names)}, np.log(rows, out=rows) - np.log(total[size] + SMOOTH * (entries.get(size, 0) + 1)).astype(np.float32)))
         self.words = self.tables[0][0]
 
     def knows(self, word: str) -> bool:
@@ -148,8 +156,10 @@ def train(docs: DataFrame, per_lang: int = SAMPLE) -> Model:
     """A model from docs(doc_id, text, lang): a sample of the labelled texts, see above."""
     labelled = docs.where("lang is not null and text is not null").select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
     sizes = labelled.groupBy("lang").count()
-    each = min(per_lang, SAMPLES / max(1, sizes.count()))
+    langs = sizes.count()
+    each = min(per_lang, SAMPLES / max(1, langs))
     share = sizes.select(F.col("lang").alias("of"), (F.lit(float(each)) / F.col("count")).alias("share"))
+    share = F.broadcast(share) if langs <= BROADCAST_LANGS else share
     sample = labelled.join(share, F.col("lang") == F.col("of")).where(hash_fraction("doc_id", "text") < F.col("share"))
     return learned(sample.select("lang", "text").distinct())
 
@@ -159,19 +169,18 @@ def learned(texts: DataFrame) -> Model:
     arrow_batches(texts.sparkSession)
     add = lambda df: df.groupBy("lang", "size", "item").agg(F.sum("n").alias("n"))
     by_word = written(add(texts.select("lang", "text").mapInArrow(lambda b: _counted(b, _word_counts), COUNTS)), "langid-words")
-    by_gram = written(add(by_word.select("lang", F.col("item").alias("word")).mapInArrow(lambda b: _counted(b, _gram_counts), COUNTS)), "langid-grams")
-    both = by_word.unionByName(by_gram)
-    totals = both.groupBy("size", "lang").agg(F.sum("n")).collect()
-    items = written(both.groupBy("size", "item").agg(F.sum("n").alias("all")), "langid-items")
+    by_gram = add(by_word.select("lang", F.col("item").alias("word")).mapInArrow(lambda b: _counted(b, _gram_counts), COUNTS))
+    items = by_word.unionByName(by_gram).groupBy("size", "item").agg(F.sum("n").alias("all"), F.collect_list(F.struct("lang", "n")).alias("of"))
+    items = written(items, "langid-items")
+    totals = items.select("size", F.inline("of")).groupBy("size", "lang").agg(F.sum("n")).collect()
     found = items.groupBy("size").agg(F.count("*"), F.count_if(F.col("all") >= MIN_COUNT)).collect()
-    known = items.where(F.col("all") >= MIN_COUNT).select(F.col("size").alias("s"), F.col("item").alias("i"), "all")
+    known = items.where(F.col("all") >= MIN_COUNT)
     for size, _, n in found:  # only the commonest where there are too many
         if n > (most := MAX_WORDS if size == 0 else MAX_GRAMS // MAX_N):
-            known = known.where(F.col("s") != size).unionByName(known.where(F.col("s") == size).orderBy(F.desc("all"), "i").limit(most))
-    kept = both.join(known, (F.col("size") == F.col("s")) & (F.col("item") == F.col("i"))).select("size", "item", "lang", "n").collect()
-    letters = {r[0] for r in by_gram.where("size = 1").select("item").distinct().collect()} - {"<", ">"}
-    discard(by_word, by_gram, items)
-    return Model(kept, totals, [r[:2] for r in found], letters)
+            known = known.where(F.col("size") != size).unionByName(known.where(F.col("size") == size).orderBy(F.desc("all"), "item").limit(most))
+    model = Model(known.select("size", "item", "of").toArrow(), totals, [r[:2] for r in found], {r[0] for r in items.where("size = 1").select("item").collect()} - {"<", ">"})
+    discard(by_word, items)
+    return model
 
 
 def annotate(docs: DataFrame, model: Model, lang: str = "lang_pred", score: str = "lang_score") -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagewright.operators.rules import KINDS
+from pagewright.sources import snapshots
 
 # The schema (fields in alphabetical order, as the digest wants them) and its word lists.
 NAME, VERSION = "book_outline_contract", "1.0.0"
@@ -210,6 +211,48 @@ def lifecycle(contracts: DataFrame, issues: DataFrame) -> DataFrame:
     return got.select("key", state.otherwise("generated_candidate").alias("state"))
 
 
+STAGES = ("candidate", "reviewed", "approved")
+
+
+def storable(contracts: DataFrame, books: DataFrame, stage: str) -> DataFrame:
+    """(key, refused): null where a contract may be stored at the stage, else why not.
+
+    A reviewed contract needs a valid record of validation, no error against its book and an approval of reviewed or approved; an approved one
+    must be ready for extraction. A contract that breaks the model isn't stored at any stage.
+    """
+    if stage not in STAGES:
+        raise ValueError(f"{stage} is none of {', '.join(STAGES)}")
+    issues = semantic_issues(contracts, books)
+    bad = issues.where("severity = 'error'").select("key").distinct().withColumn("bad", F.lit(True))
+    odd = model_issues(contracts).where("severity = 'error'").select("key").distinct().withColumn("odd", F.lit(True))
+    got = contracts.join(bad, "key", "left").join(odd, "key", "left").join(lifecycle(contracts, issues), "key", "left")
+    c = lambda path: F.col(f"doc.{path}")
+    why = F.when(F.col("doc").isNull() | F.coalesce("odd", F.lit(False)), "breaks_model")
+    if stage == "reviewed":
+        why = why.when(~F.coalesce(c("approval.status").isin("reviewed", "approved"), F.lit(False)), "not_reviewed").when(~c("validation.status").eqNullSafe("valid"), "not_valid").when(F.coalesce("bad", F.lit(False)), "has_errors")
+    if stage == "approved":
+        why = why.when(~F.col("state").eqNullSafe("extraction_ready"), "not_ready")
+    return got.select("key", why.alias("refused"))
+
+
+def save_stage(contracts: DataFrame, books: DataFrame, root: str, stage: str, expected: int) -> tuple[int, DataFrame]:
+    """Stores the contracts that pass the stage's gate beside those stored before, as the version after `expected`: (version, refused(key, refused)).
+
+    Of a key the new text stays. All of it appears at once or, where another writer was first, not at all.
+    """
+    gate = storable(contracts, books, stage)
+    new = contracts.join(gate.where("refused is null").select("key"), "key", "left_semi").select("key", F.col("raw").alias("json"))
+    old = snapshots.load(contracts.sparkSession, root, stage, expected) if expected else None
+    rows = new if old is None else old.join(new.select("key"), "key", "left_anti").unionByName(new)
+    return snapshots.save(rows, root, stage, expected), gate.where("refused is not null")
+
+
+def load_stage(spark, root: str, stage: str) -> DataFrame | None:
+    """The contracts of a stage as read() gives them, None if nothing was stored."""
+    rows = snapshots.load(spark, root, stage)
+    return None if rows is None else read(rows)
+
+
 def candidates(contracts: DataFrame, issues: DataFrame) -> DataFrame:
     """Draft rows of readable contracts: entries are included where they ask for it, may be extracted, and neither they nor their contract have an error.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions import text as T
@@ -55,7 +55,16 @@ def lifecycle(books: DataFrame, facts: DataFrame) -> DataFrame:
     return b.select("book_id", state.alias("state"), action.alias("next_action"))
 
 
-def elapsed(started, completed):
-    """Minutes and seconds between two timestamps, never below zero; null where one is missing."""
-    s = F.greatest(F.unix_timestamp(completed) - F.unix_timestamp(started), F.lit(0))
-    return F.format_string("%dm %ds", F.floor(s / 60), s % 60)
+def shown_time(value: Column) -> Column:
+    """An ISO time as date and time of day to the second, in its own offset; other text as it stands."""
+    pattern = r"^(\d{4}-\d{2}-\d{2})(?:[T ](\d{2}:\d{2})(:\d{2})?.*)?$"
+    part = lambda k, empty: F.when(F.regexp_extract(value, pattern, k) != "", F.regexp_extract(value, pattern, k)).otherwise(empty)
+    return F.when(value.rlike(pattern) & value.try_cast("timestamp").isNotNull(), F.concat(part(1, ""), F.lit(" "), part(2, "00:00"), part(3, ":00"))).otherwise(value)
+
+
+def elapsed(started: Column, completed: Column) -> Column:
+    """Minutes (if any) and seconds between two ISO times, never below zero; a dash where one is missing or no time."""
+    at = lambda c: c.try_cast("timestamp").cast("double")
+    s = F.floor(F.greatest(at(completed) - at(started), F.lit(0.0)))
+    text = F.when(s >= 60, F.format_string("%dm %ds", F.floor(s / 60), s % 60)).otherwise(F.format_string("%ds", s))
+    return F.when(at(completed).isNull() | at(started).isNull(), "—").otherwise(text)

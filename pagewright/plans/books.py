@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pagewright.functions import text as T
 from pagewright.operators import mapping as M
 from pagewright.operators import pages as P
+from pagewright.operators import review as R
 from pagewright.plans import inputs as I
 from pagewright.plans import query
 
@@ -136,6 +137,14 @@ def section_search(spark, d):
     return P.search(I.sections(spark, d), WANTED, first=2, last=40).select("book_id", "sno", "title", "start", "snippet")
 
 
+@query("search_export", f"""with {I.ALL}, h as (select *, {HIT} as p from sections where contains(replace(lower(title || E'\\n' || text), 'ß', 'ss'), '{WANTED}') and start between 2 and 40),
+s as (select book_id, sno, title, start, replace(substring(text, cast(greatest(p - 80, 0) as bigint) + 1, cast(p + {len(WANTED) + 120} - greatest(p - 80, 0) as bigint)), E'\\n', ' ') as snippet from h)
+select book_id, sno as pos, cast(to_json({{'sno': sno, 'title': title, 'start': start, 'snippet': snippet}}) as varchar) as line from s""")
+def search_export(spark, d):
+    """The hits of a search as lines of JSON."""
+    return R.rendered(section_search(spark, d).withColumn("pos", F.col("sno")), ["sno", "title", "start", "snippet"], "json")
+
+
 @query("outline_navigation", f"""with {I.PAGES}, {I.OUTLINE} select book_id, sno, lag(sno) over w as previous_sno, lead(sno) over w as next_sno, row_number() over w || ' of ' || count(*) over (partition by book_id) as place from outline window w as (partition by book_id order by sno)""")
 def outline_navigation(spark, d):
     return P.navigation(I.outline(I.pages(spark, d)))

@@ -62,7 +62,7 @@ def issues_mapping(spark, d):
 
 
 # Anchors of the draft's books: (1, 2) and (30, 31), but every third book has the first alone.
-STATE = """ranked as (select *, row_number() over (order by book_id) as k from books), state as (select book_id, k, k % 5 <> 0 as present, k % 4 <> 0 as hash_ok, k % 7 <> 0 as outline_approved, k % 6 <> 1 as approval_pdf_ok, k % 9 <> 1 as approval_outline_ok, k % 3 <> 0 as mapping_approved from ranked)"""
+STATE = r"""ranked as (select *, cast(regexp_extract(book_id, '(\d+)', 1) as int) as k from books), state as (select book_id, k, k % 5 <> 0 as present, k % 4 <> 0 as hash_ok, k % 7 <> 0 as outline_approved, k % 6 <> 1 as approval_pdf_ok, k % 9 <> 1 as approval_outline_ok, k % 3 <> 0 as mapping_approved from ranked)"""
 PREFLIGHT = f"""{DRAFT}, {STATE}, have as (select * from state where present), inc as (select o.*, k % 3 = 0 as lone from o join have using (book_id) where include),
 placed as (select *, case when pdf_index is not null then physical when printed is null then physical when not lone then printed + 1 when printed = 1 then 2 end as page, pdf_index is not null as brought from inc),
 need as (select distinct book_id from placed where printed <> 0 and not brought), lone as (select book_id from have where k % 3 = 0)"""
@@ -98,7 +98,7 @@ select * from i union all {_passed("preflight_passed", "i")}""")
 def issues_preflight(spark, d):
     o, books = _draft(spark, d)
     k = F.col("k")
-    ranked = books.withColumn("k", F.row_number().over(Window.orderBy("book_id")))  # a row a book
+    ranked = books.withColumn("k", F.regexp_extract("book_id", r"(\d+)", 1).cast("int"))
     state = ranked.select("book_id", (k % 5 != 0).alias("present"), (k % 4 != 0).alias("hash_ok"), (k % 7 != 0).alias("outline_approved"), (k % 6 != 1).alias("approval_pdf_ok"), (k % 9 != 1).alias("approval_outline_ok"), (k % 3 != 0).alias("mapping_approved"))
     printed = F.explode(F.when(k % 3 == 0, F.array(F.lit(1))).otherwise(F.array(F.lit(1), F.lit(30))))
     anchors = ranked.select("book_id", printed.alias("printed")).select("book_id", "printed", (F.col("printed") + 1).alias("physical"), F.col("printed").alias("pdf_index"), F.lit(False).alias("exception"))
@@ -195,6 +195,15 @@ def history_labels(spark, d):
     return L.labels(_runs(spark, d), books)
 
 
+@query("run_times", """with r as (select o_orderkey, strftime(o_orderdate, '%Y-%m-%d') || 'T10:00:00' as started, case when o_orderkey % 7 > 0 then strftime(o_orderdate, '%Y-%m-%d') || 'T10:0' || (o_orderkey % 4) || ':' || lpad(cast(o_orderkey % 60 as varchar), 2, '0') end as completed from orders)
+select o_orderkey, replace(started, 'T', ' ') as started, case when completed is null then '—' when o_orderkey % 4 > 0 then (o_orderkey % 4) || 'm ' || (o_orderkey % 60) || 's' else (o_orderkey % 60) || 's' end as took from r""")
+def run_times(spark, d):
+    k, day = F.col("o_orderkey"), F.date_format("o_orderdate", "yyyy-MM-dd")
+    started = F.concat(day, F.lit("T10:00:00"))
+    completed = F.when(k % 7 > 0, F.concat(day, F.format_string("T10:%02d:%02d", k % 4, k % 60)))
+    return I.table(spark, d, "orders").select("o_orderkey", L.shown_time(started).alias("started"), L.elapsed(started, completed).alias("took"))
+
+
 @query("library_lifecycle", f"""with {RUNS}, facts as (select c_custkey as book_id, c_custkey % 2 = 0 as d, c_custkey % 4 = 0 as o, c_custkey % 8 = 0 as m, (select count(*) from runs r where r.book_id = c_custkey and status = 'completed') as n from customer)
 select book_id, case when n > 0 then 'extracted' when m then 'mapped' when o then 'outlined' when d then 'drafted' else 'registered' end as state,
 case when n > 0 then 'browse' when m then 'extract' when o then 'map pages' when d then 'review outline' else 'build outline' end as next_action from facts""")

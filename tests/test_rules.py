@@ -88,3 +88,15 @@ def test_parents_of_any_level(spark):
     assert [r.parent_pos for r in df.orderBy("pos").collect()] == [None, 0, 1, 2, 3, 4, 5, 6, 7, 8, 5, 10]
     hit = P.matching_with_ancestors(df, F.col("pos") == 9)
     assert sorted(r.pos for r in hit.collect()) == list(range(10))
+
+
+def test_outline_documents(spark):
+    texts = [("list", '[{"sno": "1", "title": "A"}]'), ("object", '{"book": {"title": "T", "author": null}, "outline": [{"sno": "1", "children": [{"sno": "2"}]}], "x": 1}'), ("bad", "{"), ("none", None), ("word", '"x"'), ("empty", "{}"), ("odd", '{"book": 3, "outline": []}')]
+    docs = parse.json_documents(spark.createDataFrame(texts, "book_id string, json string"))
+    assert {r.book_id: (r.root, r.title, r.refused) for r in docs.collect()} == {
+        "list": ("$", None, None), "object": ("$.outline", "T", None), "bad": ("$", None, "malformed_json"), "none": ("$", None, "malformed_json"), "word": ("$", None, "no_outline_root"), "empty": ("$", None, "no_outline_list"), "odd": ("$.outline", None, None),
+    }
+    assert sorted((r.book_id, r.path) for r in parse.flatten_json(docs).collect()) == [("list", "$[0]"), ("object", "$.outline[0]"), ("object", "$.outline[0].children[0]")]
+    assert {(r.book_id, r.code, r.key) for r in rules.json_document_issues(docs).collect()} == {
+        ("bad", "malformed_json", "$"), ("none", "malformed_json", "$"), ("word", "no_outline_root", "$"), ("empty", "no_outline_list", "$"), ("object", "unknown_key", "$.x"), ("odd", "invalid_book_metadata", "$.book"),
+    }

@@ -108,7 +108,10 @@ def rendered(rows: DataFrame, columns: list[str], kind: str = "tsv") -> DataFram
 
 
 def megabytes(size: Column) -> Column:
-    return F.format_string("%.1f MB", size / 1048576.0)
+    """A whole number of bytes in megabytes with one decimal; halves go to the even tenth, as in Python and C (Java's formats send them up)."""
+    size = size.cast("long")
+    tenths = F.floor(size / 1048576.0) * 10 + F.bround(F.pmod(size, F.lit(1 << 20)) * 10 / 1048576.0).cast("long")
+    return F.concat((tenths / F.lit(10).cast("decimal(2,0)")).cast("decimal(20,1)").cast("string"), F.lit(" MB"))
 
 
 def short_path(path: Column) -> Column:

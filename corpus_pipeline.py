@@ -28,13 +28,13 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, written in the order of the mix."""
+    """All documents, written in the order of the mix, which the token files keep."""
     return mixing.mixture(docs, 1.0)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids in binary files; a row for each document, read back from them."""
-    return tokenfiles.write_and_read(docs)
+    """Token ids in binary files, in the order of the stage before; a row for each document, read back from them."""
+    return tokenfiles.write_and_read(docs, given_order=True)
 
 
 STAGES = [

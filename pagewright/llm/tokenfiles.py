@@ -10,7 +10,8 @@ A corpus is a folder:
   manifest.json      dictionary digest and, for each shard in order, documents, tokens and its first token's place
 
 All integers are little-endian. A frame holds the document's ids as unsigned 32-bit integers. Shards
-follow each other by doc_id (nulls first, ties by text), as do the documents of a shard. A reader refuses a shard
+follow each other by doc_id (nulls first, ties by text), as do the documents of a shard; in a corpus written in an order of its own,
+as the pipeline's mix, they follow in that order, and the manifest says so ("order": "given"). A reader refuses a shard
 whose dictionary digest is not that of the dictionary. A shard is written under a name of its attempt
 and renamed when complete, so a task that runs again replaces it with the same bytes.
 
@@ -35,10 +36,11 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 import zstandard
 from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm._common import arrow_batches, excerpt, hash_fraction, shared_dir, shuffle_partitions, table
+from pagewright.llm._common import arrow_batches, excerpt, fresh, hash_fraction, shared_dir, shuffle_partitions, table
 from pagewright.llm.pieces import Encoder, encoder
 
 BIN, IDX = b"PWTOK1\0\0", b"PWIDX1\0\0"
@@ -80,8 +82,19 @@ def _codec(dictionary: bytes):
     return zstandard.ZstdCompressor(level=LEVEL, dict_data=d), zstandard.ZstdDecompressor(dict_data=d)
 
 
-def write_corpus(docs: DataFrame, tokenizer_path: str, out: str, end: int = END) -> dict:
-    """Writes the ids of docs(doc_id, text) to the folder out and returns the manifest."""
+def file_order(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """docs with columns that give the order in which they were written, and their names: the places in the files that docs is read
+    from, by the number of the file; where docs isn't read from files, the order of its partitions and rows."""
+    size, name, row = fresh(docs, "length", "file", "row")
+    try:
+        at = docs.withColumns({size: F.length("_metadata.file_name"), name: F.col("_metadata.file_name"), row: F.col("_metadata.row_index")})
+    except AnalysisException:
+        at = docs.withColumns({size: F.lit(0), name: F.lit(""), row: F.monotonically_increasing_id()})
+    return at, [size, name, row]
+
+
+def write_corpus(docs: DataFrame, tokenizer_path: str, out: str, end: int = END, order: list[str] | None = None) -> dict:
+    """Writes the ids of docs(doc_id, text) to the folder out and returns the manifest. order: columns to go by instead of doc_id."""
     spark = docs.sparkSession
     arrow_batches(spark)
     fs, root = _fs(out)
@@ -124,9 +137,13 @@ def write_corpus(docs: DataFrame, tokenizer_path: str, out: str, end: int = END)
             fs.move(f"{attempt}.{kind}", f"{root}/{shard:06d}.{kind}")
         yield pa.RecordBatch.from_pydict({"shard": [shard], "docs": [len(index)], "tokens": [int(index["n_tokens"].sum())]}, pa.schema([("shard", pa.int64()), ("docs", pa.int64()), ("tokens", pa.int64())]))
 
-    ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(shuffle_partitions(spark), F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
+    n, rows = shuffle_partitions(spark), docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *(order or []))
+    if order:
+        ordered = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "text")
+    else:
+        ordered = rows.repartitionByRange(n, F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
     shards = sorted(tuple(r) for r in ordered.mapInArrow(run, "shard long, docs long, tokens long").collect())  # a row a partition
-    manifest, start = {"dictionary": digest.hex(), "end": end, "shards": []}, 0
+    manifest, start = {"dictionary": digest.hex(), "end": end, "shards": []} | ({"order": "given"} if order else {}), 0
     for shard, n, tokens in shards:
         manifest["shards"].append({"shard": shard, "docs": n, "tokens": tokens, "start": start})
         start += tokens
@@ -189,24 +206,26 @@ def read_document(out: str, doc_id: int) -> list[int] | None:
         index = _index(fs, root, shard, digest)
         return -(1 << 63) if index["flags"][-1] else int(index["doc_id"][-1])
 
-    at = bisect.bisect_left(shards, doc_id, key=last)
-    if at == len(shards):
-        return None
-    index = _index(fs, root, shards[at], digest)
-    found = index[(index["doc_id"] == doc_id) & (index["flags"] == 0)]
-    if not len(found):
-        return None
-    with fs.open_input_file(f"{root}/{shards[at]:06d}.bin") as f:
-        f.seek(int(found["offset"][0]))
-        return np.frombuffer(unpack.decompress(f.read(int(found["size"][0]))), "<u4").tolist()
+    if "order" not in manifest:  # by doc_id: one shard can hold it
+        at = bisect.bisect_left(shards, doc_id, key=last)
+        shards = shards[at : at + 1]
+    for shard in shards:
+        index = _index(fs, root, shard, digest)
+        found = index[(index["doc_id"] == doc_id) & (index["flags"] == 0)]
+        if len(found):
+            with fs.open_input_file(f"{root}/{shard:06d}.bin") as f:
+                f.seek(int(found["offset"][0]))
+                return np.frombuffer(unpack.decompress(f.read(int(found["size"][0]))), "<u4").tolist()
+    return None
 
 
-def write_and_read(docs: DataFrame) -> DataFrame:
-    """docs written with the word tokenizer to a new shared folder and read back."""
+def write_and_read(docs: DataFrame, given_order: bool = False) -> DataFrame:
+    """docs written with the word tokenizer to a new shared folder and read back; by doc_id, or in the order that they have."""
     import public_tokenizers
 
     out = shared_dir(docs.sparkSession, "token-files")
-    write_corpus(docs, public_tokenizers.path("word_bpe_49k.json"), out)
+    docs, order = file_order(docs) if given_order else (docs, None)
+    write_corpus(docs, public_tokenizers.path("word_bpe_49k.json"), out, order=order)
     return read_corpus(docs.sparkSession, out)
 
 

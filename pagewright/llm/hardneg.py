@@ -255,7 +255,8 @@ def _search(state: DataFrame, index: Index, blocks: DataFrame, width: int, same:
                         yield pa.RecordBatch.from_arrays([pa.array(uid[i]), pa.array(np.full(len(i), w, np.int32)), pa.array(s), pa.array(ids[j])], ["uid", "w", "score", "id"])
 
     seen = state.select("uid", "label", "q", "lo", "hi", "kth").mapInArrow(packs, "leaf int, uid binary, label binary, q binary, low binary, high binary")
-    return seen.join(blocks, "leaf").mapInArrow(pairs, CANDIDATES)
+    # merged: Spark takes packs to be as small as the anchors that they come from, and would send them all through the driver
+    return seen.hint("merge").join(blocks, "leaf").mapInArrow(pairs, CANDIDATES)
 
 
 def _best(candidates: DataFrame, k: int) -> DataFrame:

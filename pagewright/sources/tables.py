@@ -132,10 +132,10 @@ def read_chapters(spark: SparkSession, folder: str) -> DataFrame:
 def outline_template(rows: DataFrame) -> DataFrame:
     """rows(book_id, title, start, y, kind[, end]) as a CSV template to fill in: pages of contents entries are printed ones, all others physical.
 
-    Rows alike in place and title are numbered by kind and end, so that the same rows get the same numbers in every run.
+    Rows without a place or title come last, as in the SQL. Rows alike in both are numbered by kind and end, so that the same rows get the same numbers in every run.
     """
     toc = F.col("kind") == "toc"
-    sno = F.row_number().over(Window.partitionBy("book_id").orderBy("start", "y", "title", "kind", *(["end"] if "end" in rows.columns else [])))
+    sno = F.row_number().over(Window.partitionBy("book_id").orderBy(*(F.asc_nulls_last(c) for c in ("start", "y", "title", "kind", "end") if c in rows.columns)))
     sides = [(f"{side}_{end}", cond, end) for side, cond in (("printed", toc), ("physical", ~toc)) for end in ("start", "end") if end in rows.columns]
     return rows.select("book_id", sno.alias("Sno"), "title", "kind", *(F.when(cond, F.col(c)).alias(name) for name, cond, c in sides))
 
